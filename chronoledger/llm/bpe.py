@@ -18,7 +18,9 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType
+
+from .common import with_fields
 
 #: Texts are encoded in pieces of about so many characters, cut where the
 #: pattern has a boundary whatever stands around it: before a single space
@@ -121,7 +123,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", o
     added = ["token_ids", *(["token_starts", "token_ends"] if offsets else [])]
     kept = docs.drop(*added)
     ints = pa.list_(pa.int32())
-    out = _with(kept.schema, *[(name, ArrayType(IntegerType())) for name in added])
+    out = with_fields(kept.schema, *[(name, ArrayType(IntegerType())) for name in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -153,7 +155,7 @@ def decode_tokens(docs: DataFrame, path: str, pattern: str, ids: str = "token_id
                 cols = [pa.array(raw, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *added])
 
-    return kept.mapInArrow(run, _with(kept.schema, ("decoded_bytes", BinaryType()), ("decoded_text", StringType())))
+    return kept.mapInArrow(run, with_fields(kept.schema, ("decoded_bytes", BinaryType()), ("decoded_text", StringType())))
 
 
 def digest_round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,7 +166,7 @@ def digest_round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_
     worker: only 150 bytes a document go back.
     """
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
-    schema = _with(narrow.select("doc_id").schema, ("n_tokens", LongType()), ("ids_sha256", StringType()), ("decoded_sha256", StringType()))
+    schema = with_fields(narrow.select("doc_id").schema, ("n_tokens", LongType()), ("ids_sha256", StringType()), ("decoded_sha256", StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -181,13 +183,6 @@ def digest_round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_
     return narrow.mapInArrow(run, schema)
 
 
-def _with(schema: StructType, *fields: tuple[str, DataType]) -> StructType:
-    out = StructType(list(schema.fields))
-    for name, kind in fields:
-        out = out.add(name, kind)
-    return out
-
-
 def _small(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """`batch` in slices of about `most` bytes of `column`, one row at least."""
     per = max(1, batch.column(column).nbytes // max(1, batch.num_rows))

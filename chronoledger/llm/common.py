@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, StructType
 from pyspark.sql.window import Window
 
 #: Rows that one numbering bucket holds on average.
@@ -93,6 +94,13 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def with_fields(schema: StructType, *fields: tuple[str, DataType]) -> StructType:
+    out = StructType(list(schema.fields))
+    for name, kind in fields:
+        out = out.add(name, kind)
+    return out
+
+
 def components(edges: DataFrame, stage: Stage) -> DataFrame:
     """Connected components of undirected `edges` (a, b: long).
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, jaccard_join, quality_rules, sharding
+from . import bpe, exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules, sharding, url_cascade
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,23 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+#: Rules of the url filter; the longest that fits decides.
+URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
+
+
+def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge_urls(_table(spark, sf_dir, "pages"), url_cascade.parse_rules(URL_RULES))
+
+
+#: Target weights of the sources, in hundredths; the rest of them share 6.
+MIX_WEIGHTS = {"src0": 12, **{f"src{i}": 8 for i in range(1, 5)}, **{f"src{i}": 4 for i in range(5, 10)}, **{f"src{i}": 3 for i in range(10, 20)}}
+MIX_OTHER, MIX_BLOCK_BYTES = 6, 65_536
+
+
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_BLOCK_BYTES, MIX_OTHER)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
@@ -36,12 +53,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.base_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = quality_classifier.train(docs, _table(spark, sf_dir, "labels").filter(~held_out))
+    scored = quality_classifier.score_texts(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_rendezvous": op3_rendezvous,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_url_cascade": op5_url_cascade,
+    "op6_pfair_mixing": op6_pfair_mixing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
+    "op10_quality_ranking": op10_quality_ranking,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -51,6 +79,15 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256, {_LOWER} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (t)""",
+    "op5_url_cascade": r"""
+        WITH u AS (SELECT page_id, strpos(coalesce(url, ''), '://') AS pos, coalesce(url, '') AS url FROM pages),
+        h AS (SELECT page_id, CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^/?#]*') ELSE '' END AS raw,
+                CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+        p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM h),
+        r(action, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        m AS (SELECT page_id, max_by(rhost || rpath, len(rhost || rpath)) AS rule, max_by(action, len(rhost || rpath)) AS action
+              FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+        SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
     "op7_jaccard_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
