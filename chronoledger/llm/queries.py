@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sharding, url_cascade
+from . import bpe, exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sharding, url_cascade, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(_table(spark, sf_dir, "pages"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocab
 
@@ -72,6 +76,7 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_rendezvous": op3_rendezvous,
     "op4_exact_dedup": op4_exact_dedup,
