@@ -1 +1,6 @@
+"""Registered queries: the operators over the driver's tables, and the same in SQL."""
 
+from . import audit
+
+QUERIES = {**audit.QUERIES}
+ORACLES = {**audit.ORACLES}
