@@ -53,7 +53,7 @@ def attribute(activity: DataFrame, windows: DataFrame, key: str, user_row: Colum
     """
     wants = F.coalesce(user_row, F.lit(False)) if user_row is not None else F.lit(False)
     rows = activity.select("session_id", "at", F.lit(1).alias("side"), F.struct(*activity.columns).alias("row"), wants.alias("wants"), F.lit(None).cast("struct<started_at:double,invocation_id:string,ended_at:double>").alias("window"))
-    marks = windows.select("session_id", F.col("started_at").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.lit(False).alias("wants"), F.struct(F.col("started_at").cast("double"), "invocation_id", F.col("ended_at").cast("double")).alias("window"))
+    marks = windows.select("session_id", F.col("started_at").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.lit(False).alias("wants"), F.struct(F.col("started_at").cast("double").alias("started_at"), "invocation_id", F.col("ended_at").cast("double").alias("ended_at")).alias("window"))
     order = [F.col("at"), F.col("side"), F.col("window.invocation_id")]
     back = Window.partitionBy("session_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # Seen from the end; a start at the very time of a row counts as ahead of it.

@@ -38,7 +38,7 @@ def secret_matches(targets: DataFrame, key: str, rules: dict[str, tuple[str, int
         size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.octet_length(x))
         before = size(F.slice("gaps", F.lit(1), F.col("i") + 1)) + size(F.slice("whole", F.lit(1), F.col("i")))
         mine = F.get("whole", F.col("i"))
-        lead = F.octet_length(F.substring_index(mine, F.col("value"), 1))
+        lead = F.octet_length(F.substring(mine, F.lit(1), F.position("value", mine) - 1))
         rows = each.select(key, "target", "type", (before + lead).cast("long").alias("byte_start"), (before + lead + F.octet_length("value")).cast("long").alias("byte_end"), "value")
         found = rows if found is None else found.unionByName(rows)
     return found

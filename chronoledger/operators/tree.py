@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .lineage import cut
+
 
 def first_parents(events: DataFrame) -> DataFrame:
     """(id, parent) of session events: the first parent that is not null wins."""
@@ -28,7 +30,7 @@ def roots(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
     walk = edges.select("id", F.array("id").alias("path"), F.col("id").alias("at"))
     state = walk.join(known.withColumnRenamed("up", "next"), F.col("at") == F.col("k"), "left").drop("k")
     for _ in range(max_rounds):
-        state = state.withColumn("open", F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))).cache()
+        state = cut(state.withColumn("open", F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))))
         if state.filter("open").isEmpty():
             break
         # The walk of the node at `next` is taken over whole, up to a node walked before.
@@ -38,7 +40,7 @@ def roots(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
         taken = F.when(F.col("n").isNull(), F.array("next")).when(met > 0, F.slice("n_path", F.lit(1), (met - 1).cast("int"))).otherwise(F.col("n_path"))
         path = F.when(F.col("open"), F.concat("path", taken)).otherwise(F.col("path"))
         onward = F.when(~F.col("open"), F.col("next")).when(F.col("n").isNull() | (met > 0), F.lit(None)).otherwise(F.col("n_next"))
-        state = joined.select("id", path.alias("path"), onward.alias("next"))
+        state = joined.select("id", path.alias("walked"), onward.alias("onward")).toDF("id", "path", "next")
     return state.select("id", F.element_at("path", -1).alias("root"))
 
 
@@ -51,7 +53,8 @@ def closure(nodes: DataFrame, max_rounds: int = 32) -> DataFrame:
     size = -1
     for _ in range(max_rounds):
         lower = every.select(F.col("ancestor").alias("mid"), F.col("id").alias("low"), F.col("depth").alias("d"))
-        every = every.join(lower, every["id"] == lower["mid"]).select("ancestor", F.col("low").alias("id"), (F.col("depth") + F.col("d")).alias("depth")).groupBy("ancestor", "id").agg(F.min("depth").alias("depth")).cache()
+        every = every.join(lower, every["id"] == lower["mid"]).select("ancestor", F.col("low").alias("id"), (F.col("depth") + F.col("d")).alias("depth")).groupBy("ancestor", "id").agg(F.min("depth").alias("depth"))
+        every = cut(every)
         now = every.count()
         if now == size:
             break

@@ -1,6 +1,6 @@
 """Registered queries: the operators over the driver's tables, and the same in SQL."""
 
-from . import audit
+from . import activity, audit, knowledge
 
-QUERIES = {**audit.QUERIES}
-ORACLES = {**audit.ORACLES}
+QUERIES = {**audit.QUERIES, **activity.QUERIES, **knowledge.QUERIES}
+ORACLES = {**audit.ORACLES, **activity.ORACLES, **knowledge.ORACLES}

@@ -123,8 +123,8 @@ CRON = "*/15 6-18 * * 1-5"
 
 
 def cron_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users whose id ends in 7 are jobs; their events are fires."""
-    e = table(spark, sf_dir, "events").filter("user_id % 10 = 7").select(F.col("user_id").alias("job_id"), epoch("ts").alias("at"))
+    """Users are jobs, their events are fires."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), epoch("ts").alias("at"))
     jobs = e.select("job_id").distinct().withColumn("created", F.lit(None).cast("double"))
     return detect.cron_misses(jobs, e, parse_cron(CRON), NOW_EVENTS, 7 * 86400.0, 600.0).select("job_id", F.col("first").cast("long").alias("first"), "missed", "tail")
 
@@ -257,7 +257,7 @@ ORACLES = {
     "once_missed": f"""SELECT c_custkey AS job_id, CAST(852076800 + c_custkey * 86400 AS BIGINT) AS first FROM customer
         WHERE 852076800 + c_custkey * 86400 + 432000 <= {NOW_ORDERS}
           AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND abs(epoch_us(o_orderdate) / 1e6 - (852076800 + c_custkey * 86400)) <= 432000)""",
-    "cron_missed": f"""WITH f AS (SELECT user_id AS j, epoch_us(ts) / 1e6 AS t FROM events WHERE user_id % 10 = 7),
+    "cron_missed": f"""WITH f AS (SELECT user_id AS j, epoch_us(ts) / 1e6 AS t FROM events),
         jobs AS (SELECT j, greatest(min(t), {NOW_EVENTS} - 604800) AS lower FROM f GROUP BY j),
         m AS (SELECT unnest(range(1704067200, {int(NOW_EVENTS)} + 1, 60)) AS instant),
         due AS (SELECT j, instant FROM jobs JOIN m ON instant >= lower

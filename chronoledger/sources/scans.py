@@ -34,18 +34,21 @@ def sessions_to_read(sessions: DataFrame, recent: Column, subjects: DataFrame, m
     """Sessions that a poll needs: recent ones, those still open, those that
     `subjects` (session_id) names, and all ancestors of these.
 
-    Ancestors are found by joining level by level until none is new.
+    Ancestors are found level by level until none is new; a level's keys and
+    what has been found are checkpointed, so plans don't grow with the depth.
     """
+    from ..operators.lineage import cut
+
     still_open = F.col("ended_at").isNull() | (F.col("expiry_finalized") == 0)
     first = sessions.filter(recent | still_open).select("id").union(sessions.join(subjects.select(F.col("session_id").alias("id")).distinct(), "id", "left_semi").select("id"))
-    found = frontier = first.distinct()
+    found = frontier = cut(first.distinct())
     parents = sessions.select("id", F.col("parent_session_id").alias("up"))
     for _ in range(max_depth):
-        frontier = parents.join(frontier, "id", "left_semi").filter("up is not null").select(F.col("up").alias("id")).distinct().join(found, "id", "left_anti").cache()
+        frontier = cut(parents.join(frontier, "id", "left_semi").filter("up is not null").select(F.col("up").alias("id")).distinct().join(found, "id", "left_anti"))
         if frontier.isEmpty():
             break
-        found = found.union(frontier)
-    return sessions.join(found.distinct(), "id", "left_semi")
+        found = cut(found.union(frontier))
+    return sessions.join(found, "id", "left_semi")
 
 
 def usage_to_read(usage: DataFrame, touched: DataFrame | None) -> DataFrame:
