@@ -120,7 +120,8 @@ def _bloom(keys: DataFrame, count: int, rate: float, seed: int, room: int) -> Bl
             yield pa.RecordBatch.from_arrays([pa.array(list(masks), pa.int64()), pa.array(list(masks.values()), pa.int32())], names=["byte", "mask"])
 
     bits = bytearray(size)
-    for row in keys.mapInArrow(run, "byte long, mask int").groupBy("byte").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+    # At most a row for each byte of the filter, whose size was checked above.
+    for row in keys.mapInArrow(run, "byte long, mask int").groupBy("byte").agg(F.bit_or("mask").alias("mask")).collect():
         bits[row["byte"]] = row["mask"]
     return Bloom(bytes(bits), hashes, seed)
 
