@@ -294,7 +294,7 @@ _SIZED = f"{LEDGER_SQL}, z AS (SELECT l.producer_sequence, l.occurred_at AS reco
 _SECRETS = r"""hit AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '(?i)\b(?:api_?key|passwd|password|secret|token)\b["'']?\s*[:=]\s*["'']?([A-Za-z0-9+/_.=-]{8,})', 0)) AS whole,
         unnest(regexp_extract_all(text, '(?i)\b(?:api_?key|passwd|password|secret|token)\b["'']?\s*[:=]\s*["'']?([A-Za-z0-9+/_.=-]{8,})', 1)) AS value FROM documents),
     nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, whole) AS n FROM hit),
-    pos AS (SELECT doc_id, value, octet_length(encode(array_to_string(list_slice(string_split(text, whole), 1, n), whole) || left(whole, strpos(whole, value) - 1))) AS byte_start FROM nth)"""
+    pos AS (SELECT doc_id, value, CAST(list_sum(list_transform(list_slice(string_split(text, whole), 1, n), lambda g: octet_length(encode(g)))) + (n - 1) * octet_length(encode(whole)) + octet_length(encode(left(whole, strpos(whole, value) - 1))) AS BIGINT) AS byte_start FROM nth)"""
 
 ORACLES = {
     "blob_dedup": "SELECT DISTINCT 'sha256:' || sha256(text) AS blob_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0)",
