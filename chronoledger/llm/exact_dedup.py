@@ -18,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import Stage, lower_ascii
+from .common import Stage, lower_ascii, sized_broadcast
 
 #: Characters in a block.  Most documents have one or two; a text of n
 #: characters needs log2(n / 2048) rounds of pairing.
 BLOCK_CHARS = 2048
 
 #: Distinct values in one sorting bucket, about.
-NAMES_PER_BUCKET = 100_000
+NAMES_PER_BUCKET = 10_000
 
 
 def blocks_of(text: Column) -> Column:
@@ -119,7 +119,9 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 def _grouped(docs: DataFrame, key: str, text: str, stage: Stage) -> tuple[DataFrame, DataFrame]:
     rows, identities = block_identities(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), stage, "_text")
     known = rows.select("_rid", "_key").join(identities, "_rid")
-    groups = known.groupBy("n_blocks", "name").agg(F.max(F.struct("_key", "_rid")).alias("last"), F.count(F.lit(1)).alias("group_size"))
+    # Written first, the groups meet their members in a plain join, of which
+    # Spark splits the partition of a group with very many copies.
+    groups = stage.write(known.groupBy("n_blocks", "name").agg(F.max(F.struct("_key", "_rid")).alias("last"), F.count(F.lit(1)).alias("group_size")))
     each = identities.join(groups, ["n_blocks", "name"]).select(
         "_rid", F.col("last._key").alias("keep_id"), F.col("last._rid").alias("keep_rid"), "group_size"
     )
@@ -140,14 +142,12 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     each = rows.join(groups, "_rid")
     gone = stage.write(each.filter("_rid <> keep_rid and _key <> keep_id").select(F.col("_key.key").alias("_k"), F.col("_key.raw").alias("_raw")).distinct())
     again = stage.write(each.filter("_rid <> keep_rid and _key <=> keep_id").select(F.col("_key.key").alias("_k"), F.col("_key.raw").alias("_raw")).distinct())
-    on = lambda a, b: a[key].eqNullSafe(b["_k"]) & (a["_r"] == b["_raw"])
-    from .common import sized_broadcast
-
-    keyed = docs.withColumn("_r", raw)
+    on = lambda a, b: a[key].eqNullSafe(b["_k"]) & (a["__raw"] == b["_raw"])
+    keyed = docs.withColumn("__raw", raw)
     gone = sized_broadcast(gone, 400_000)
     kept = keyed.join(gone, on(keyed, gone), "left_anti")
     if again.isEmpty():
-        return kept.drop("_r")
+        return kept.drop("__raw")
     single = kept.join(again, on(kept, again), "left_anti")
-    repeated = kept.join(again, on(kept, again), "left_semi").dropDuplicates([key, "_r"])
-    return single.unionByName(repeated).drop("_r")
+    repeated = kept.join(again, on(kept, again), "left_semi").dropDuplicates([key, "__raw"])
+    return single.unionByName(repeated).drop("__raw")
