@@ -108,3 +108,36 @@ def version_lines(versions: DataFrame, shipped: DataFrame) -> DataFrame:
         F.when(F.col("event"), "event✓").otherwise("event✗"), F.when(F.col("tombstone"), " tombstone").otherwise(""),
     )
     return known.select("artifact_id", "seq", line.alias("line"))
+
+
+def report_lines(events: DataFrame) -> DataFrame:
+    """(ord, line) of the findings report: a head, a line for each finding in
+    stream order, and a summary; one line if there is nothing to report."""
+    found = findings(events)
+    detail = found.select(F.struct(F.lit(1).alias("part"), F.coalesce("installation_id", F.lit("")).alias("i"), F.coalesce("producer_sequence", F.lit(0)).alias("s")).alias("ord"), F.concat(F.lit("  "), _padded(F.col("event_type"), 28), F.lit("  "), F.col("detail")).alias("line"))
+    counts = findings_by_type(events)
+    total = counts.agg(F.coalesce(F.sum("findings"), F.lit(0)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_type", "findings"))), lambda c: F.concat(c["event_type"], F.lit("="), c["findings"].cast("string"))), ", ").alias("types"))
+    at = lambda part: F.struct(F.lit(part).alias("part"), F.lit("").alias("i"), F.lit(0).cast("long").alias("s"))
+    head = total.select(at(0).alias("ord"), F.when(F.col("n") == 0, "clean: no gaps, missing terminals, or missed cron runs").otherwise(F.concat(F.col("n").cast("string"), F.lit(" finding(s):"))).alias("line"))
+    foot = total.filter("n > 0").select(at(2).alias("ord"), F.concat(F.lit("summary: "), F.col("types")).alias("line"))
+    return head.unionByName(detail).unionByName(foot)
+
+
+def security_lines(groups: DataFrame) -> DataFrame:
+    """(fingerprint, line) of secret groups, without any part of the secret."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    line = F.concat(F.lit("  "), text("type"), F.lit("  target="), text("target"), F.lit(" bytes="), text("byte_start"), F.lit(":"), text("byte_end"), F.lit(" first_event="), text("first_event"), F.lit(" occurrences="), text("occurrences"), F.lit(" fingerprint="), F.col("fingerprint"))
+    return groups.select("fingerprint", line.alias("line"))
+
+
+def task_lines(board: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(board, task_id, ord, line): a task, its holder, and its attempts from the
+    first seen on."""
+    text = lambda c: F.col(c).cast("string")
+    zero = F.struct(F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("run"))
+    task = board.select("board", "task_id", F.struct(F.lit(0).alias("part"), zero.alias("at")).alias("ord"), F.concat(F.lit("▣ task "), "task_id", F.lit("  ["), "status", F.lit("]  board="), "board").alias("line"))
+    lease = F.when(F.col("claim_expires").isNotNull(), F.concat(F.lit("  expires="), text("claim_expires"))).otherwise("")
+    holder = board.filter("holder is not null").select("board", "task_id", F.struct(F.lit(1).alias("part"), zero.alias("at")).alias("ord"), F.concat(F.lit("    holder "), "holder", F.lit("  ["), F.when(F.col("held"), "held").otherwise("released"), F.lit("]"), lease).alias("line"))
+    outcome = F.when(F.col("outcome") == "running", F.col("outcome")).otherwise(F.concat("outcome", F.lit("/"), "disposition"))
+    runs = attempts.select("board", "task_id", F.struct(F.lit(2).alias("part"), F.struct(F.col("first_seen").cast("double").alias("t"), F.col("run_id").cast("long").alias("run")).alias("at")).alias("ord"), F.concat(F.lit("      run "), text("run_id"), F.lit("  "), "holder", F.lit("  "), outcome).alias("line"))
+    return task.unionByName(holder).unionByName(runs)

@@ -1,6 +1,8 @@
 """Registered queries: the operators over the driver's tables, and the same in SQL."""
 
-from . import activity, audit, knowledge
+from . import activity, audit, knowledge, reports
 
-QUERIES = {**audit.QUERIES, **activity.QUERIES, **knowledge.QUERIES}
-ORACLES = {**audit.ORACLES, **activity.ORACLES, **knowledge.ORACLES}
+_PARTS = (audit, activity, knowledge, reports)
+
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -352,7 +352,7 @@ ORACLES = {
     "tracked_files": "SELECT source AS name, 'f' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS rel FROM documents WHERE doc_id % 9 <> 0 AND source NOT IN ('src1', 'src2') QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5",
     "scalar_functions": """SELECT event_id, strftime(make_timestamp(epoch_us(ts) // 1000000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso, 'sha256:' || left(sha256(CAST(event_id AS VARCHAR)), 12) AS short,
         CASE WHEN event_id % 30 <= 20 THEN repeat('ab', event_id % 30) ELSE left(repeat('ab', 30), 39) || '…' END AS text, CAST(4 * ceil((event_id % 100 + 16) / 3.0) AS BIGINT) AS wire, [19800, -28800, 0][event_id % 3 + 1] AS zone,
-        CASE WHEN event_id % 2 = 0 THEN 0.0 WHEN event_id % 5 = 0 THEN 12.5 END AS at FROM events""",
+        CAST(CASE WHEN event_id % 2 = 0 THEN 0.0 WHEN event_id % 5 = 0 THEN 12.5 END AS DOUBLE) AS at FROM events""",
     "content_crypto": "SELECT doc_id, true AS same, true AS refused, octet_length(encode(text)) + 16 AS sealed_bytes FROM documents",
-    "last_start": "SELECT max(event_id) + 0.5 AS last FROM events WHERE event_id % 50 = 7",
+    "last_start": "SELECT CAST(max(event_id) + 0.5 AS DOUBLE) AS last FROM events WHERE event_id % 50 = 7",
 }
