@@ -11,7 +11,7 @@ from pyspark.sql.types import DataType, StructType
 from pyspark.sql.window import Window
 
 #: Rows that one numbering bucket holds on average.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 4_096
 
 #: A set of 64-bit ids is broadcast up to this many entries (32 MB); beyond it
 #: the same join runs as a shuffle.

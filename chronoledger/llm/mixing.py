@@ -144,7 +144,7 @@ def in_mixed_order(docs: DataFrame, weights: Mapping[str, int], block_bytes: int
     files read one after another are the mixture.  Rows whose key repeats take
     the earliest place of their key.
     """
-    placed = mix(docs, weights, block_bytes, other, key, text, source).groupBy("doc_id").agg(F.min(F.struct("slot", "start_byte")).alias("_place"))
-    placed = placed.select(F.col("doc_id").alias("_placed"), "_place")
-    joined = docs.join(placed, docs[key].eqNullSafe(placed["_placed"]))
-    return joined.repartitionByRange("_place").sortWithinPartitions("_place").select(*docs.columns)
+    placed = mix(docs, weights, block_bytes, other, key, text, source).groupBy("doc_id").agg(F.min(F.struct("slot", "start_byte")).alias("__place"))
+    placed = placed.select(F.col("doc_id").alias("__placed"), "__place")
+    joined = docs.join(placed, docs[key].eqNullSafe(placed["__placed"]))
+    return joined.repartitionByRange("__place").sortWithinPartitions("__place").select(*docs.columns)
