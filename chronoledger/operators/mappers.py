@@ -138,7 +138,7 @@ def board_records(events: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataF
     moved = record(
         moves, event_type=F.col("event_type"), occurred_at=S.epoch_or_zero("created_at"), source=F.lit("kanban:task_events"), capture_method=F.lit("poll:kanban:task_events"),
         correlation_id=F.col("task_id"), session_id=F.col("session_id"),
-        payload=payload_of(event_type=F.col("event_type"), board=F.col("board"), task_id=F.col("task_id"), hermes_event_kind=F.col("kind"), run_id=F.col("run_id"), status=F.col("status"), **lease, **{c: F.col(c) for c in TASK_DETAILS}),
+        payload=payload_of(event_type=F.col("event_type"), board=F.col("board"), task_id=F.col("task_id"), event_kind=F.col("kind"), run_id=F.col("run_id"), status=F.col("status"), **lease, **{c: F.col(c) for c in TASK_DETAILS}),
         dedup_key=F.concat_ws(":", F.lit("kanban"), F.col("board"), F.lit("event"), F.col("id").cast("string")),
     )
     ends = r.filter("outcome is not null").withColumn("task_id", F.col("run_task")).join(t.select("board", "task_id", "session_id"), ["board", "task_id"], "left")
