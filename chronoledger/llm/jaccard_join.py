@@ -35,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from .common import Stage, components, sized_broadcast
 from .shingles import batches_of, shingle_sets
@@ -43,8 +43,18 @@ from .shingles import batches_of, shingle_sets
 #: Cells of the frequency sketch, and the rows it travels in.
 CELL_BITS, CHUNKS = 20, 256
 
-#: Costs of the boundary's estimate: of a posting or subset, of a comparison.
-POST_COST, COMPARE_COST = 1.0, 0.5
+#: Costs of the boundary's estimate, in shuffled rows: of a posting or subset,
+#: and of a candidate pair (told apart, looked up twice and verified).
+POST_COST, COMPARE_COST = 1.0, 6.0
+
+#: (cells, largest set) of the parity prints that go with each posting into the
+#: scan of a list: half as many cells as shingles, so that sets that differ in
+#: much more than linked ones can are told apart.
+PRINTS = ((512, 1024), (2048, 4096), (8192, 1 << 31))
+
+#: Lists in which a set asks for a hub: its rarest ones.  The scan that follows
+#: covers all lists, so this sets the work only.
+HUB_LISTS = 8
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -56,6 +66,20 @@ def prefix_length(n: int, c: int, num: int, den: int) -> int:
     return min(n, n - least_overlap(n, num, den) + c)
 
 
+def order_levels(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level of each cell in the order of shingles, counts of rare cells).
+
+    Levels rise with the count, in eighths of its standard deviation and, far
+    above the mean, with its logarithm: a shingle of n documents stands behind
+    almost all others as soon as n exceeds a few deviations.
+    """
+    mean = cells.mean()
+    z = (cells - mean) / max(math.sqrt(mean), 1e-9)
+    near = np.clip((z + 4) * 8, 0, 96)
+    far = 96 + 8 * np.log2(np.maximum(z, 8) / 8)
+    return np.clip(np.where(z <= 8, near, far), 0, 255).astype(np.uint8), cells[cells <= max(4.0, mean + 6 * math.sqrt(mean))]
+
+
 def choose_boundary(sizes: dict[int, int], shared: float, num: int, den: int) -> int:
     """The largest size that enumerates subsets.
 
@@ -76,12 +100,25 @@ def choose_boundary(sizes: dict[int, int], shared: float, num: int, den: int) ->
 
 
 def _bitmap(h: np.ndarray) -> bytes:
-    """Parity of the shingles in each of 2^k >= 2n cells, k from 6 to 16."""
-    cells = 1 << min(16, max(6, (2 * len(h) - 1).bit_length()))
+    """Parity of the shingles in each of 2^k >= 2n cells, k from 9 to 16."""
+    cells = 1 << min(16, max(9, (2 * len(h) - 1).bit_length()))
     odd = np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _print(bitmap: bytes, cells: int) -> np.ndarray:
+    """A bitmap folded to so many cells, as longs."""
+    return np.bitwise_xor.reduce(np.frombuffer(bitmap, np.int64).reshape(-1, cells // 64), axis=0)
+
+
+def _prints(bitmap: bytes, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The print of a set's own class, and that of the next class for a set that
+    may link with one of it."""
+    own = next(i for i, (_, top) in enumerate(PRINTS) if n <= top)
+    near = n * den >= num * (PRINTS[own][1] + 1)
+    return _print(bitmap, PRINTS[own][0]), _print(bitmap, PRINTS[own + 1][0]) if near else None
+
+
 def may_link(a: bytes, b: bytes, na: int, nb: int, num: int, den: int) -> bool:
     """False only if the sets differ in more shingles than linked sets can."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -111,11 +148,12 @@ class _Join:
     # -- sets ---------------------------------------------------------------
 
     def describe(self) -> DataFrame:
-        """Per row: _key, n, s1, s2 (digest of the set), bits; and the partial
-        sketches of each task in rows that have a chunk."""
+        """Per row: _key, n, s1, s2 (digest of the set), bits and the prints made
+        of them; and the partial sketches of each task in rows that have a chunk."""
+        num, den = self.num, self.den
         width, per = self.width, (1 << CELL_BITS) // CHUNKS
-        schema = StructType([self.docs.schema["_key"]]).add("n", IntegerType()).add("s1", LongType()).add("s2", LongType()).add("bits", BinaryType()).add("chunk", IntegerType()).add("counts", BinaryType())
-        shape = pa.schema([("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
+        schema = StructType([self.docs.schema["_key"]]).add("n", IntegerType()).add("s1", LongType()).add("s2", LongType()).add("bits", BinaryType()).add("print", ArrayType(LongType())).add("upper", ArrayType(LongType())).add("chunk", IntegerType()).add("counts", BinaryType())
+        shape = pa.schema([("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("bits", pa.binary()), ("print", pa.list_(pa.int64())), ("upper", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells, kind = np.zeros(1 << CELL_BITS, np.uint32), None
@@ -128,11 +166,12 @@ class _Join:
                     digests = np.array([np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in sets]).reshape(-1, 2)
                     n = np.array([len(x) for x in sets], np.int32)
                     none = pa.nulls(len(sets), pa.int32())
-                    cols = [n, digests[:, 0], digests[:, 1], [_bitmap(x) for x in sets], none, pa.nulls(len(sets), pa.binary())]
+                    bits = [_bitmap(x) for x in sets]
+                    cols = [n, digests[:, 0], digests[:, 1], bits, *zip(*[_prints(b, len(x), num, den) for b, x in zip(bits, sets, strict=True)], strict=True), none, pa.nulls(len(sets), pa.binary())]
                     yield pa.RecordBatch.from_arrays([batch.column("_key"), *[c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, shape, strict=True)]], names=["_key", *shape.names])
             if kind is not None:
                 parts = [(i, c.tobytes()) for i, c in enumerate(cells.reshape(CHUNKS, per)) if c.any()]
-                void = [pa.nulls(len(parts), t.type) for t in list(shape)[:4]]
+                void = [pa.nulls(len(parts), t.type) for t in list(shape)[:6]]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), kind), *void, pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["_key", *shape.names])
 
         return self.docs.select("_key", "_text").mapInArrow(run, schema)
@@ -278,27 +317,24 @@ class _Join:
         """(rows: _key, n, node; links; roots: node, root or None)."""
         write, drop = self.stage.write, self.stage.drop
         described = write(self.describe())
-        ids = described.filter("chunk is null").select("_key", "n", "s1", "s2", "bits")
+        ids = described.filter("chunk is null").select("_key", "n", "s1", "s2", "bits", "print", "upper")
         new = self.renamed(ids)
-        ids = ids.select("_key", "n", _node_column(new).alias("node"), "bits")
+        ids = ids.select("_key", "n", _node_column(new).alias("node"), "bits", "print", "upper")
         cells = self.frequencies(described)
         sizes = {r["n"]: r["count"] for r in ids.filter("n > 0").groupBy(F.least("n", F.lit(4096)).alias("n")).count().collect()}
-        mean = cells.mean()
-        often = max(4.0, mean + 6 * math.sqrt(mean))
-        levels = np.where(cells <= often, 0, 1 + np.log2(np.maximum(cells, 1) / often)).astype(np.uint8)
-        rare = cells[levels == 0].astype(np.float64)
+        levels, rare = order_levels(cells)
+        rare = rare.astype(np.float64)
         shared = max(0.0, float((rare**2).sum() - rare.sum() ** 2 / max(1, len(rare)) - rare.sum()) / max(1.0, float(rare.sum())))
         boundary = choose_boundary(sizes, shared, self.num, self.den)
 
         posted = write(self.postings(levels, boundary, new))
-        several = posted.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("sig")
-        lists = write(posted.join(several, "sig"))
+        lists = write(posted.join(self._worth_scanning(posted, "node"), "sig"))
         drop(posted)
         found = self.verified(self._hub_pairs(lists), ids, new)
         roots = None if found.isEmpty() else components(found, self.stage)
         mixed = write(self._mixed_lists(lists, roots))
         drop(lists)
-        across = self.verified(self._cross_pairs(mixed), ids, new)
+        across = self.verified(self._cross_pairs(mixed, ids), ids, new)
         drop(mixed)
         if not across.isEmpty():
             every = found.unionByName(across)
@@ -306,9 +342,23 @@ class _Join:
             found = every
         return ids.select("_key", "n", "node"), found, roots
 
+    def _worth_scanning(self, lists: DataFrame, different: str) -> DataFrame:
+        """(sig) of lists whose members are not all of one `different`; a list of
+        two members, as most are, must also fit as a pair.  Sums and extremes
+        say so, so lists of any length are combined before they are shuffled."""
+        num, den = self.num, self.den
+        known = lists.groupBy("sig").agg(
+            F.min(different).alias("lo"), F.max(different).alias("hi"), F.max("n").alias("big"), F.count(F.lit(1)).alias("members"),
+            F.sum(F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("both"),  # sizes above, places below
+        )
+        sizes, places = "(both >> 32)", f"(both & {(1 << 32) - 1})"
+        pair = f"{den} * ({sizes} - big) >= {num} * cast(big as long) and {num + den} * ({sizes} - {places}) >= {2 * num} * {sizes}"
+        return known.filter(f"lo < hi and (members > 2 or {pair})").select("sig")
+
     def _hub_pairs(self, lists: DataFrame) -> DataFrame:
         hubs = lists.groupBy("sig").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
-        near = lists.alias("m").join(hubs.select("sig", "hub.*").alias("h"), "sig").filter("m.node <> h.node").filter(self.fits("m", "h"))
+        asked = lists.groupBy("node", "n").agg(F.slice(F.array_sort(F.collect_set(F.struct("pos", "sig"))), 1, HUB_LISTS).alias("first")).select("node", "n", F.inline("first"))
+        near = asked.alias("m").join(hubs.select("sig", "hub.*").alias("h"), "sig").filter("m.node <> h.node").filter(self.fits("m", "h"))
         return _pairs(near, "m", "h")
 
     def _mixed_lists(self, lists: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -318,12 +368,33 @@ class _Join:
         else:
             named = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = self.stage.write(named.select("sig", "node", "n", "pos", "root").distinct())
-        several = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-        return named.join(several, "sig")
+        return named.join(self._worth_scanning(named, "root"), "sig")
 
-    def _cross_pairs(self, mixed: DataFrame) -> DataFrame:
-        near = mixed.alias("m").join(mixed.alias("h"), "sig").filter("m.root < h.root").filter(self.fits("m", "h"))
-        return _pairs(near, "m", "h")
+    def _cross_pairs(self, mixed: DataFrame, ids: DataFrame) -> DataFrame:
+        """Pairs of different components that a list's scan cannot rule out.
+
+        Members go into the scan with a parity print of their set: the cells in
+        which two prints differ are at most the shingles in which the sets do.
+        """
+        held = ids.groupBy("node").agg(F.first("print").alias("print"), F.first("upper").alias("upper"))
+        scanned = self.stage.write(mixed.join(held, "node"))
+        largest = scanned.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        found, low = None, 0
+        for cells, top in PRINTS:
+            # A pair is scanned in the class of its larger set.
+            words = [f"p{i}" for i in range(cells // 64)]
+            own = F.when(F.col("n") > low, F.col("print")).otherwise(F.col("upper"))
+            members = scanned.filter((F.col("n") <= top) & ((F.col("n") > low) | F.col("upper").isNotNull() & (F.col("n") * self.den >= self.num * (low + 1))))
+            members = members.withColumn("own", own).select("sig", "node", "n", "pos", "root", *[F.get("own", F.lit(i)).alias(w) for i, w in enumerate(words)])
+            apart = " + ".join(f"bit_count(m.{w} ^ h.{w})" for w in words)
+            # |x ^ y| <= |x| + |y| - 2 * least overlap of a linked pair of these sizes.
+            allowed = f"{self.num + self.den} * cast({apart} as long) <= {self.den - self.num} * (m.n + h.n)"
+            near = members.alias("m").join(members.alias("h"), F.expr(f"m.sig = h.sig and m.root < h.root and greatest(m.n, h.n) > {low} and {self.fits('m', 'h')} and {allowed}"))
+            found = _pairs(near, "m", "h") if found is None else found.unionByName(_pairs(near, "m", "h"))
+            low = top
+            if largest <= top:
+                break
+        return found
 
 
 def _pairs(near: DataFrame, m: str, h: str) -> DataFrame:
