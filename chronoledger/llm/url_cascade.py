@@ -22,15 +22,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
-from .common import lower_ascii, with_fields
+from .common import Stage, lower_ascii, with_fields
 
-#: The filters of a cascade are broadcast and may have so many bytes together.
+#: The filters of a cascade are broadcast and may have so many bytes together;
+#: longer lists are joined with the keys instead.
 MAX_BYTES = 64 << 20
 
 #: Share of keys outside that pass a filter after the first.
 LATER_RATE = 0.5
 
 
+class TooLarge(ValueError):
+    """The filters of a cascade would be too large to broadcast."""
+
+
 @dataclass(frozen=True)
 class Rule:
     action: str
@@ -109,7 +114,7 @@ def _bloom(keys: DataFrame, count: int, rate: float, seed: int, room: int) -> Bl
     hashes = max(1, round(-math.log2(rate)))
     size = max(1, math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 8))
     if size > room:
-        raise ValueError(f"the filters would take more than {MAX_BYTES} bytes; split the rules by host and judge in turn")
+        raise TooLarge(f"the filters would take more than {MAX_BYTES} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +187,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     universe = parsed.select("host", "path").mapInArrow(every_key, "key string")
     as_frame = lambda keys: spark.createDataFrame([(k,) for k in sorted(keys)], "key string")
     every, blocked = {r.key for r in rules}, {r.key for r in rules if r.action == "block"}
-    listed = build(as_frame(every), universe)
-    barred = build(as_frame(blocked), as_frame(every))
+    try:
+        listed = build(as_frame(every), universe)
+        barred = build(as_frame(blocked), as_frame(every))
+    except TooLarge:
+        return _judged_by_join(parsed, as_frame(every), as_frame(blocked), lengths, labels, default)
     shared = spark.sparkContext.broadcast((listed, barred))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,3 +202,21 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[*batch.schema.names, "rule", "verdict"])
 
     return parsed.mapInArrow(run, with_fields(parsed.schema, ("rule", StringType()), ("verdict", StringType())))
+
+
+def _judged_by_join(parsed: DataFrame, every: DataFrame, blocked: DataFrame, lengths: Sequence[int], labels: int, default: str) -> DataFrame:
+    """The same verdicts where the filters would be too large: keys are joined
+    with the rules, and the first that fits is kept for each row."""
+    rows = Stage(parsed.sparkSession, "url-join").write(parsed.withColumn("_row", F.monotonically_increasing_id()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
+            found = [(r, i, k) for r, h, p in zip(batch.column("_row").to_pylist(), hosts, paths, strict=True) for i, k in enumerate(keys_of(h, p, lengths, labels))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["_row", "_rank", "key"])
+
+    rules = every.join(blocked.withColumn("_bad", F.lit(True)), "key", "left")
+    keys = rows.select("_row", "host", "path").mapInArrow(run, "_row long, _rank int, key string")
+    best = keys.join(rules, "key").groupBy("_row").agg(F.min(F.struct("_rank", "key", "_bad")).alias("_hit"))
+    verdict = F.when(F.col("_hit").isNull(), F.lit(default)).when(F.col("_hit._bad"), F.lit("block")).otherwise(F.lit("allow"))
+    return rows.join(best, "_row", "left").select("page_id", "host", "path", F.col("_hit.key").alias("rule"), verdict.alias("verdict"))

@@ -26,6 +26,14 @@ def test_verdicts_are_those_of_brute_force(spark):
     assert got == {i: brute(u) for i, u in enumerate(URLS + URLS[:7])}
 
 
+def test_long_lists_are_joined_to_the_same_verdicts(spark, monkeypatch):
+    monkeypatch.setattr(U, "MAX_BYTES", 0)
+    df = spark.createDataFrame([(i % 9, u) for i, u in enumerate(URLS + URLS[:7])], "page_id long, url string")
+    got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in U.judge_urls(df, RULES).collect())
+    want = [(i % 9, *brute(u)) for i, u in enumerate(URLS + URLS[:7])]
+    assert got == sorted((i, h, p, k or "", v) for i, h, p, k, v in want)
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     every = [f"key{i}" for i in range(3000)]
     listed = set(every[::7])
