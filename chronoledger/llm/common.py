@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType, StructType
@@ -59,6 +61,19 @@ class Stage:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what is computed meanwhile: operators
+    on long texts hold a batch several times, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     """`df` (a staged or otherwise cheap table of ids) with a broadcast hint if
     it has at most `limit` rows, else as it is, for a shuffle join."""

@@ -37,9 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
-from .common import Stage, components, sized_broadcast
+from .common import Stage, arrow_rows, components, sized_broadcast
 from .shingles import batches_of, shingle_sets
 
+#: Rows of an Arrow batch: texts and sets are large.
+ARROW_ROWS = 1000
+
 #: Cells of the frequency sketch, and the rows it travels in.
 CELL_BITS, CHUNKS = 20, 256
 
@@ -246,7 +249,7 @@ class _Join:
                         node = _node(x, new)
                         if len(x) < 2 or node in seen:  # sets of one shingle link with equal sets only
                             continue
-                        if len(seen) < 1_000_000:
+                        if len(seen) < 200_000:
                             seen.add(node)
                         for sig, pos in signatures(x, level):
                             cols[0].append(_signed(sig))
@@ -303,8 +306,9 @@ class _Join:
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-                keep = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in rows]
+                # Row by row: a batch of large sets is not held a second time.
+                rows = zip(batch.column("x"), batch.column("y"), strict=True)
+                keep = [links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in rows]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -426,11 +430,13 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     rows with null keys is null unless it has another key.
     """
     stage = Stage(docs.sparkSession, "jaccard-join")
-    rows, found, roots = _Join(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), width, num, den, stage).run()
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        rows, found, roots = _Join(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), width, num, den, stage).run()
     named = rows.filter("n > 0")
     named = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stage.write(named.select("_key", "n", "root"))
-    firsts = named.groupBy("root").agg(F.min("_key").alias("component_id"))
+    # Written first, so that Spark can split the partition of a large component.
+    firsts = stage.write(named.groupBy("root").agg(F.min("_key").alias("component_id")))
     linked = named.join(firsts, "root").select(F.col("_key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = rows.filter("n = 0").select(F.col("_key").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.col("_key").alias("component_id"))
     return linked.unionByName(alone)

@@ -62,7 +62,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
-def batches_of(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """`batch` in slices of about `most` bytes of `column`, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -71,3 +71,4 @@ def batches_of(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Itera
         to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # workers are reused, and keep what they don't give back
