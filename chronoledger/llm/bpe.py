@@ -183,7 +183,7 @@ def digest_round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_
     return narrow.mapInArrow(run, schema)
 
 
-def _small(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _small(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """`batch` in slices of about `most` bytes of `column`, one row at least."""
     per = max(1, batch.column(column).nbytes // max(1, batch.num_rows))
     step = max(1, most // per)
