@@ -36,13 +36,19 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def chars_of(text: Column, kind: str) -> Column:
+    """Code points that the character class `kind` has, by what is left without
+    its runs: counting matches would make a string of each."""
+    return (F.char_length(text) - F.char_length(F.regexp_replace(text, f"{kind}+", ""))).cast("long")
+
+
 def word_chars(text: Column) -> Column:
     """Code points that stand in words."""
-    return (F.char_length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long")
+    return F.char_length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long")
+    return chars_of(text, "[#*$%&|<>]")
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -79,24 +85,42 @@ def n_repeat_words(text: Column, width: int = 3) -> Column:
     return let(words(text), count).cast("long")
 
 
+class Text:
+    """A text and its counts.  Counts that a table has already are taken from
+    it, the others are computed where a rule asks for them."""
+
+    COUNTS = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
+
+    def __init__(self, body: Column, known: tuple[str, ...] = ()):
+        self.body, self.known = body, known
+
+    def __getattr__(self, name: str) -> Column:
+        if name not in self.COUNTS:
+            raise AttributeError(name)
+        return F.col(name) if name in self.known else self.COUNTS[name](self.body)
+
+    def chars(self, kind: str) -> Column:
+        return chars_of(self.body, kind)
+
+
 @dataclass(frozen=True)
 class Rule:
     """Rejects the documents for which `rejects(text)` is true."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[Text], Column]
 
 
 #: The rules asked in production.  All bounds are strict.
 RULES = (
-    Rule("few_words", lambda t: n_words(t) < 50),
-    Rule("symbols", lambda t: n_symbols(t) * 10 > n_words(t)),
-    Rule("exclamations", lambda t: F.regexp_count(t, F.lit("!")) * 5 > n_words(t)),
-    Rule("capitals", lambda t: F.regexp_count(t, F.lit(r"\p{Lu}")) * 2 > F.regexp_count(t, F.lit(r"\p{L}"))),
-    Rule("no_letters", lambda t: F.regexp_count(t, F.lit(r"\p{L}")) * 2 < word_chars(t)),
-    Rule("word_length", lambda t: let(F.struct(word_chars(t).alias("c"), n_words(t).alias("n")), lambda x: (x["c"] < 2 * x["n"]) | (x["c"] > 25 * x["n"]))),
-    Rule("dup_lines", lambda t: n_dup_lines(t) * 2 > F.size(F.split(t, "\n", -1))),
-    Rule("repeats", lambda t: n_repeat_words(t) * 2 > n_words(t)),
+    Rule("few_words", lambda t: t.n_words < 50),
+    Rule("symbols", lambda t: t.n_symbols * 10 > t.n_words),
+    Rule("exclamations", lambda t: t.chars("[!]") * 5 > t.n_words),
+    Rule("capitals", lambda t: t.chars(r"\p{Lu}") * 2 > t.chars(r"\p{L}")),
+    Rule("no_letters", lambda t: t.chars(r"\p{L}") * 2 < t.word_chars),
+    Rule("word_length", lambda t: let(F.struct(t.word_chars.alias("c"), t.n_words.alias("n")), lambda x: (x["c"] < 2 * x["n"]) | (x["c"] > 25 * x["n"]))),
+    Rule("dup_lines", lambda t: t.n_dup_lines * 2 > F.size(F.split(t.body, "\n", -1))),
+    Rule("repeats", lambda t: t.n_repeat_words * 2 > t.n_words),
 )
 
 
@@ -123,7 +147,7 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     part = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     share = min(1.0, sample_docs / max(1, total))
     sample = stage.write((part if share == 1.0 else part.sample(fraction=share, seed=17)).coalesce(4))
-    hits = sample.agg(*[F.coalesce(F.avg(r.rejects(F.col("text")).cast("double")), F.lit(0.0)).alias(r.name) for r in rules]).first()
+    hits = sample.agg(*[F.coalesce(F.avg(r.rejects(Text(F.col("text"))).cast("double")), F.lit(0.0)).alias(r.name) for r in rules]).first()
 
     def seconds(column: Column) -> float:
         run = sample.select(column.alias("x"))
@@ -132,12 +156,12 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
         return time.perf_counter() - began
 
     floor = seconds(F.length("text"))
-    found = [Measured(r.name, max(1e-3, seconds(r.rejects(F.col("text"))) - floor), hits[r.name]) for r in rules]
+    found = [Measured(r.name, max(1e-3, seconds(r.rejects(Text(F.col("text")))) - floor), hits[r.name]) for r in rules]
     stage.drop(sample)
     return sorted(found, key=lambda m: -m.gain)
 
 
-def cascade(text: Column, rules: tuple[Rule, ...], order: list[Measured]) -> Column:
+def cascade(text: Text, rules: tuple[Rule, ...], order: list[Measured]) -> Column:
     """The name of the first rule in `order` that rejects `text`, else null."""
     by = {r.name: r for r in rules}
     chain = None
@@ -151,13 +175,13 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     """`docs` with `verdict`: the rule that rejected the row, null if it stays.
     Which of several rules is named depends on their measured order; whether
     one is named does not.  A null text counts as empty."""
-    return docs.withColumn(verdict, cascade(F.coalesce(F.col(text), F.lit("")), rules, measure(docs, rules, text)))
+    return docs.withColumn(verdict, cascade(Text(F.coalesce(F.col(text), F.lit(""))), rules, measure(docs, rules, text)))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of `docs` that no rule rejects, columns as they are."""
     order = measure(docs, rules, text)
-    return docs.filter(cascade(F.coalesce(F.col(text), F.lit("")), rules, order).isNull())
+    return docs.filter(cascade(Text(F.coalesce(F.col(text), F.lit(""))), rules, order).isNull())
 
 
 def base_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,5 +200,5 @@ def base_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "do
     )
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     judged = counted.withColumn("base_failed", failed)
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(F.col("_body"), rest, order).isNull())
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(Text(F.col("_body"), tuple(Text.COUNTS)), rest, order).isNull())
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

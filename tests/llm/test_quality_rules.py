@@ -37,7 +37,7 @@ def test_order_is_by_gain_and_does_not_change_the_verdict(spark, tmp_path):
     assert [m.gain for m in order] == sorted((m.gain for m in order), reverse=True)
     from pyspark.sql import functions as F
 
-    body = F.coalesce("text", F.lit(""))
+    body = Q.Text(F.coalesce("text", F.lit("")))
     both = docs.select(Q.cascade(body, Q.RULES, order).isNull().alias("a"), Q.cascade(body, Q.RULES, order[::-1]).isNull().alias("b")).collect()
     assert all(r.a == r.b for r in both)
     kept = Q.keep_good(docs)
@@ -58,7 +58,7 @@ def test_each_rule_rejects_its_case_and_keeps_good_text(spark, name, text):
 
     rule = next(r for r in Q.RULES if r.name == name)
     df = spark.createDataFrame([(text,), (good(),)], "text string")
-    assert [r[0] for r in df.select(rule.rejects(F.col("text"))).collect()] == [True, False]
+    assert [r[0] for r in df.select(rule.rejects(Q.Text(F.col("text")))).collect()] == [True, False]
 
 
 def test_empty_table(spark, tmp_path):
