@@ -137,14 +137,22 @@ def mix(docs: DataFrame, weights: Mapping[str, int], block_bytes: int, other: in
     return placed.join(F.broadcast(table), within).select("doc_id", "source", "size", "start_byte", "block", slot.alias("slot"), "phase")
 
 
+def places(docs: DataFrame, weights: Mapping[str, int], block_bytes: int, other: int = 1, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, slot, start_byte) of each key in the mixture: the earliest place
+    of its rows.  The same rows have the same places, in whatever files they are."""
+    first = mix(docs, weights, block_bytes, other, key, text, source).groupBy("doc_id").agg(F.min(F.struct("slot", "start_byte")).alias("_at"))
+    return first.select("doc_id", "_at.slot", "_at.start_byte")
+
+
 def in_mixed_order(docs: DataFrame, weights: Mapping[str, int], block_bytes: int, other: int = 1, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """All rows and columns of `docs`, written out in the order of the mixture.
 
     Documents are ranged by (slot, start_byte) and sorted in their range, so the
-    files read one after another are the mixture.  Rows whose key repeats take
-    the earliest place of their key.
+    files read one after another are the mixture.  Spark's own readers don't read
+    files by name: whoever rereads them has the order from `places`.  Rows whose
+    key repeats take the earliest place of their key.
     """
-    placed = mix(docs, weights, block_bytes, other, key, text, source).groupBy("doc_id").agg(F.min(F.struct("slot", "start_byte")).alias("__place"))
-    placed = placed.select(F.col("doc_id").alias("__placed"), "__place")
+    placed = places(docs, weights, block_bytes, other, key, text, source)
+    placed = placed.select(F.col("doc_id").alias("__placed"), F.struct("slot", "start_byte").alias("__place"))
     joined = docs.join(placed, docs[key].eqNullSafe(placed["__placed"]))
     return joined.repartitionByRange("__place").sortWithinPartitions("__place").select(*docs.columns)

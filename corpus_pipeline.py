@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronoledger.llm import bpe, exact_dedup, jaccard_join, mixing, quality_rules
 from chronoledger.llm.common import Stage
@@ -39,11 +39,13 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokenized_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document."""
+    """The token ids of every document, and its place in the mixture: reading by
+    (slot, start_byte) gives the mixture, in whatever files the rows are."""
     import public_tokenizers as vocab
 
     ids = bpe.encode_texts(docs.select("doc_id", "source", "text"), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN, offsets=False)
-    return ids.select("doc_id", "source", "token_ids")
+    placed = mixing.places(docs, MIX_WEIGHTS, MIX_BLOCK_BYTES, MIX_OTHER).withColumnRenamed("doc_id", "_placed")
+    return ids.join(placed, F.col("doc_id").eqNullSafe(F.col("_placed"))).select("doc_id", "source", "slot", "start_byte", "token_ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -5,9 +5,9 @@ import public_tokenizers as vocab
 import tiktoken
 
 import corpus_pipeline
-from chronoledger.llm import bpe
+from chronoledger.llm import bpe, mixing
 
-from .fixtures import frame, table
+from .fixtures import corpus, frame, table
 from .test_jaccard_join import brute, mutated
 from .test_quality_rules import counts, good
 
@@ -46,3 +46,25 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
         assert out.count() == 0
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
+
+
+def test_mixture_survives_the_reread(spark, tmp_path, monkeypatch):
+    weights = {"src0": 3, "src1": 1}
+    monkeypatch.setattr(corpus_pipeline, "MIX_WEIGHTS", weights)
+    monkeypatch.setattr(corpus_pipeline, "MIX_BLOCK_BYTES", 500)
+    rows = corpus()
+    docs = table(frame(spark, rows), tmp_path)
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = table(stages["pfair_mixing"](spark, docs, str(tmp_path)), tmp_path, "mixed")
+    got = stages["byte_bpe"](spark, mixed, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(k for k, _, _ in rows)
+    assert {(r.doc_id, r.slot, r.start_byte) for r in got} == {(r.doc_id, r.slot, r.start_byte) for r in mixing.mix(docs, weights, 500, corpus_pipeline.MIX_OTHER).collect()}
+
+    blocks = Counter()
+    for _, t, s in rows:
+        blocks[s if s in weights else mixing.OTHER] += len((t or "").encode()) + 1
+    every = {**weights, mixing.OTHER: corpus_pipeline.MIX_OTHER}
+    limit = mixing.phases(every, {s: -(-b // 500) for s, b in blocks.items()})[1]["start"]
+    order = mixing.period(every)
+    first = [r for r in got if r.slot < limit]
+    assert first and all((r.source if r.source in weights else mixing.OTHER) == order[r.slot % len(order)] for r in first)
