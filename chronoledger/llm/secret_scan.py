@@ -165,7 +165,8 @@ def candidates(text: Column) -> Column:
         n = F.char_length(v)
         band = sum(((n >= b).cast("int") for b in BANDS[1:]), F.lit(0))
         stat = let(alphabet, lambda a: F.when(a.isNotNull() & (n >= BANDS[0]), battery(v, a)))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), band.alias("band"), F.least(F.lit(STEPS), F.floor(stat * 2)).cast("int").alias("step"), decoy.alias("decoy"))
+        step = let(stat, lambda x: F.when(x.isNotNull(), F.least(F.lit(STEPS), F.floor(x * 2)).cast("int")))  # least() skips nulls
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), band.alias("band"), step.alias("step"), decoy.alias("decoy"))
 
     found = _found_if(text.rlike(CANDIDATE), matches(text, CANDIDATE))
     return F.filter(F.transform(found, tested), lambda c: c["step"].isNotNull())

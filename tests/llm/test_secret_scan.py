@@ -55,6 +55,12 @@ def test_random_strings_are_found_among_words_and_words_are_left_alone(spark, tm
     assert all(not got[i] for i in range(40, 80))
 
 
+def test_only_tested_runs_count_as_hypotheses(spark):
+    texts = ["4845168114407329 " * 3, "=" * 40, "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"]
+    got = [r[0] for r in spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, i int").orderBy("i").select(X.candidates(F.col("t"))).collect()]
+    assert [len(x) for x in got] == [0, 0, 1]
+
+
 def test_step_up_bounds_findings():
     count = lambda band, step, decoy, n: Row(band=band, step=step, decoy=decoy, n=n)
     decoys = [count(0, s, True, 10) for s in range(100, 200)]
