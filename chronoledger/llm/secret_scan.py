@@ -1,15 +1,19 @@
 r"""Secret scans: fixed patterns, and a randomness battery for the rest.
 
 Patterns find assignments of credentials, access key ids and long hex strings.
-Beyond them every run of 16 or more key characters is a candidate.  Its encoding
-is inferred from the characters it has, and three tests ask whether it is a
+Beyond them every run of 16 or more key characters is a candidate, cut at inner
+`=`; so are its parts of that length between `+` or `/` and between `_` or `-`, as
+names and paths are glued to values by these.  Runs of digits alone are numbers
+and not tested.  A candidate's encoding is inferred from the characters it has, and three tests ask whether it is a
 uniform draw from that alphabet: a chi-squared test of symbol counts, a runs test
 of the upper against the lower half of the alphabet, and the serial correlation
 of neighbours.  Fisher's sum of their log p-values is the candidate's statistic:
 small for random strings, large for words.
 
 How small a word's statistic can be by chance depends on its length, so the
-letters-only runs of the same corpus, which are words, serve as decoys: within
+letters-only runs of the same corpus that are words serve as decoys.  A third or
+more of a word's pairs of letters are among those common in European languages
+(of a random string's, a tenth); other letters-only runs are tested.  Within
 its length band (and the shorter ones, where words look more random) a
 candidate's p-value is the share of decoys that look as random.  Benjamini and
 Hochberg's step-up over all candidates then bounds the share of false findings.
@@ -32,7 +36,15 @@ HEX = r"[0-9a-f]{32,}"  # a maximal run of 32 or more
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Runs without inner =, with their padding.
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+
+#: Parts of a run that has separators of either kind.
+PARTS = (r"[A-Za-z0-9_-]{16,}=*", r"[A-Za-z0-9+/]{16,}=*")
+
+#: Common pairs of letters, and the least share of them in a word (1 of so many).
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie ge sc qu ue ai el la os ci ad do ta un ns tr ss us et il".split()
+WORD_PAIRS = 3
 
 #: Lower ends of the length bands.
 BANDS = (16, 20, 24, 32, 48)
@@ -45,7 +57,7 @@ FALSE_SHARE = 0.05
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
-#: (pattern, alphabet, whether such strings are decoys), first fit holds.
+#: (pattern, alphabet, whether words of it are decoys), first fit holds.
 ENCODINGS = (
     ("^[0-9]+$", None, False),
     ("^[0-9a-f]+$", _DIGITS + _LOWER[:6], False),
@@ -59,6 +71,7 @@ ENCODINGS = (
     ("^[A-Za-z0-9]+$", _DIGITS + _UPPER + _LOWER, False),
     ("^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/", False),
     ("^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_", False),
+    ("^[A-Za-z0-9+/_-]+$", _UPPER + _LOWER + _DIGITS + "+/-_", False),
 )
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
@@ -152,6 +165,25 @@ def battery(value: Column, alphabet: Column) -> Column:
     return let(F.struct(chars.alias("i"), F.char_length(alphabet).cast("double").alias("k")), tests)
 
 
+def _is_word(value: Column) -> Column:
+    """Whether enough pairs of neighbours in a string of letters are common."""
+    def enough(v: Column) -> Column:
+        n = F.char_length(v) - 1
+        common = F.filter(F.sequence(F.lit(1), n), lambda i: v.substr(i, F.lit(2)).isin(PAIRS))
+        return F.size(common) * WORD_PAIRS >= n
+
+    return let(F.lower(value), enough)
+
+
+def _with_parts(run: Column) -> Column:
+    """A run and its parts, each place once."""
+    def moved(pattern: str) -> Column:
+        return F.transform(matches(run["value"], pattern), lambda m: F.struct((run["start"] + m["start"]).alias("start"), (run["start"] + m["end"]).alias("end"), m["value"].alias("value")))
+
+    whole = F.array(run).cast(_SPANS)
+    return F.when(run["value"].rlike("[+/_-]"), F.array_distinct(F.concat(whole, *[moved(p).cast(_SPANS) for p in PARTS]))).otherwise(whole)
+
+
 def candidates(text: Column) -> Column:
     """Tested runs: array of (start, end, band, step, decoy)."""
     def tested(s: Column) -> Column:
@@ -161,14 +193,15 @@ def candidates(text: Column) -> Column:
         alphabet, decoy = F.lit(None).cast("string"), F.lit(False)
         for pattern, letters, words in reversed(ENCODINGS):
             alphabet = F.when(v.rlike(pattern), F.lit(letters).cast("string")).otherwise(alphabet)
-            decoy = F.when(v.rlike(pattern), F.lit(words)).otherwise(decoy)
+            decoy = F.when(v.rlike(pattern), _is_word(v) if words else F.lit(False)).otherwise(decoy)
         n = F.char_length(v)
         band = sum(((n >= b).cast("int") for b in BANDS[1:]), F.lit(0))
         stat = let(alphabet, lambda a: F.when(a.isNotNull() & (n >= BANDS[0]), battery(v, a)))
         step = let(stat, lambda x: F.when(x.isNotNull(), F.least(F.lit(STEPS), F.floor(x * 2)).cast("int")))  # least() skips nulls
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), band.alias("band"), step.alias("step"), decoy.alias("decoy"))
 
-    found = _found_if(text.rlike(CANDIDATE), matches(text, CANDIDATE))
+    runs = _found_if(text.rlike(CANDIDATE), matches(text, CANDIDATE))
+    found = F.flatten(F.transform(runs, _with_parts))
     return F.filter(F.transform(found, tested), lambda c: c["step"].isNotNull())
 
 
@@ -207,8 +240,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     Returns doc_id, and spans: array of (start, rank in KINDS, end), sorted, in
     code points with the end exclusive.  `random` spans are those candidates
-    that the battery finds and no other span overlaps.  A null text is empty;
-    repeated rows are scanned each.
+    that the battery finds and no span of a pattern overlaps, joined where they
+    overlap each other.  A null text is empty; repeated rows are scanned each.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     stage = Stage(docs.sparkSession, "secret-scan")
@@ -220,9 +253,19 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.filter("tokens", lambda t: ~t["decoy"] & _within(t, cut) & F.forall(F.col("base"), lambda b: apart(t, b))),
         lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end")),
     )
+    added = let(F.array_sort(added), _joined)
     return seen.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
+def _joined(spans: Column) -> Column:
+    """Sorted `random` spans, those that overlap made one.  A span begins where
+    all before it have ended, and ends where the last before the next begin does."""
+    opens = F.filter(spans, lambda s: ~F.exists(spans, lambda o: (o["start"] < s["start"]) & (s["start"] < o["end"])))
+    begins = F.array_distinct(F.transform(opens, lambda s: s["start"]))
+    last = lambda b, i: F.array_max(F.transform(F.filter(spans, lambda s: (s["start"] >= b) & F.coalesce(s["start"] < F.get(begins, i + 1), F.lit(True))), lambda s: s["end"]))
+    return F.transform(begins, lambda b, i: F.struct(b.alias("start"), F.lit(3).alias("rank"), last(b, i).alias("end")))
+
+
 def _within(t: Column, cut: dict[int, int]) -> Column:
     out = F.lit(False)
     for band, step in cut.items():

@@ -55,6 +55,37 @@ def test_random_strings_are_found_among_words_and_words_are_left_alone(spark, tm
     assert all(not got[i] for i in range(40, 80))
 
 
+def test_glued_runs_are_cut_and_each_part_is_tested(spark):
+    key, std, url = "9aK3xQ7mZ2pL8vT4wB6nRs", "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzQ8T", "T0_aB3dEf6hIj-KlMn9pQrSt"
+    texts = [f"PRIVATE_KEY={key}==", f"sig={std}", f"/v1/hooks/{url}", f"my-name/{std}", "aB3dEf/GhI_jKlMn+pQ-rSt", f"{key}="]
+    got = [r for r in spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, i int").orderBy("i").select("t", X.candidates(F.col("t")).alias("c")).collect()]
+    places = [[r.t[s["start"] : s["end"]] for s in r.c] for r in got]
+    assert places[:2] == [[f"{key}=="], [std]] and places[4:] == [[texts[4]], [f"{key}="]]
+    assert url in places[2] and texts[2] in places[2] and len(set(places[2])) == len(places[2])
+    assert f"name/{std}" in places[3]
+    assert not any(s["decoy"] for r in got for s in r.c)
+
+
+def test_random_letters_and_glued_keys_are_found(spark, tmp_path):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice(["ation", "ing", "the", "ness", "over", "ment"]) for _ in range(5)) for _ in range(3000)]
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [lambda: ("", draw(lower, 40)), lambda: ("", draw(lower + upper, 40)), lambda: ("PRIVATE_KEY=", draw(lower + upper + "0123456789", 48)), lambda: ("/v1/hooks/", "T0_" + draw(lower + upper + "0123456789", 45))]
+    keys = [kinds[i % 4]() for i in range(40)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 40)) + (f" {''.join(keys[i])} é" if i < 40 else ""), None) for i in range(80)]
+    got = {r.doc_id: [s for s in r.spans if s["rank"] == 3] for r in X.scan(table(frame(spark, rows), tmp_path)).collect()}
+    found = [sum(any(rows[i][1][s["start"] : s["end"]].endswith(keys[i][1]) for s in got[i]) for i in range(k, 40, 4)) for k in range(4)]
+    assert min(found) >= 6, found  # the rest look too regular by chance
+    assert all(not got[i] for i in range(40, 80))
+
+
+def test_overlapping_findings_are_joined(spark):
+    spans = [(1, 3, 5), (1, 3, 20), (7, 3, 9), (18, 3, 30), (30, 3, 40), (50, 3, 60)]
+    df = spark.createDataFrame([(spans,)], "s array<struct<start:int,rank:int,end:int>>")
+    assert [tuple(x) for x in df.select(X._joined(F.col("s"))).first()[0]] == [(1, 3, 30), (30, 3, 40), (50, 3, 60)]
+
+
 def test_only_tested_runs_count_as_hypotheses(spark):
     texts = ["4845168114407329 " * 3, "=" * 40, "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"]
     got = [r[0] for r in spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, i int").orderBy("i").select(X.candidates(F.col("t"))).collect()]
