@@ -30,25 +30,29 @@ def messages(df: DataFrame, mark: int, overlap: int, high: int, roles: Sequence[
     return bounded(df, "id", mark, overlap, high).filter(F.col("role").isin(*roles))
 
 
-def sessions_to_read(sessions: DataFrame, recent: Column, subjects: DataFrame, max_depth: int = 100) -> DataFrame:
+def sessions_to_read(sessions: DataFrame, recent: Column, subjects: DataFrame) -> DataFrame:
     """Sessions that a poll needs: recent ones, those still open, those that
     `subjects` (session_id) names, and all ancestors of these.
 
-    Ancestors are found level by level until none is new; a level's keys and
-    what has been found are checkpointed, so plans don't grow with the depth.
+    Ancestors are found by pointer doubling: a round reaches twice as far, and
+    the last one adds none.  What has been found and the pointers are
+    checkpointed, so plans don't grow with the depth.
     """
     from ..operators.lineage import cut
 
     still_open = F.col("ended_at").isNull() | (F.col("expiry_finalized") == 0)
     first = sessions.filter(recent | still_open).select("id").union(sessions.join(subjects.select(F.col("session_id").alias("id")).distinct(), "id", "left_semi").select("id"))
-    found = frontier = cut(first.distinct())
-    parents = sessions.select("id", F.col("parent_session_id").alias("up"))
-    for _ in range(max_depth):
-        frontier = cut(parents.join(frontier, "id", "left_semi").filter("up is not null").select(F.col("up").alias("id")).distinct().join(found, "id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        found = cut(found.union(frontier))
-    return sessions.join(found, "id", "left_semi")
+    found = cut(first.distinct())
+    size = found.count()
+    jump = cut(sessions.select("id", F.col("parent_session_id").alias("up")).filter("up is not null").distinct())
+    while True:
+        found = cut(found.union(jump.join(found, "id", "left_semi").select(F.col("up").alias("id"))).distinct())
+        now = found.count()
+        if now == size:
+            return sessions.join(found, "id", "left_semi")
+        size = now
+        onward = jump.select(F.col("id").alias("up"), F.col("up").alias("far"))
+        jump = cut(jump.join(onward, "up").select("id", F.col("far").alias("up")).distinct())
 
 
 def usage_to_read(usage: DataFrame, touched: DataFrame | None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronoledger.functions import scalars as S
 from chronoledger.operators import ledger as book, retention, security, store, tree, usage, views
 from chronoledger.operators.mappers import content_chunks, reassembled
+from chronoledger.sources import scans
 
 
 def column(spark, expr):
@@ -165,3 +166,11 @@ def test_secret_offsets_and_suppression(spark):
     assert printed.select("fingerprint").distinct().count() == 1 and security.unsuppressed(printed, printed).count() == 0
     baseline = security.update_baseline(printed, add=spark.createDataFrame([("t", "bad")], "type string, fingerprint string"))
     assert baseline.count() == 1
+
+
+def test_sessions_to_read_has_ancestors_of_any_depth(spark):
+    rows = [(str(i), str(i - 1), 1.0) for i in range(300)] + [("a", "b", None), ("b", "c", 1.0), ("c", "b", 1.0), ("x", None, 1.0)]
+    s = spark.createDataFrame(rows, "id string, parent_session_id string, ended_at double").withColumn("expiry_finalized", F.lit(1))
+    named = spark.createDataFrame([("299",)], "session_id string")
+    got = [r.id for r in scans.sessions_to_read(s, F.lit(False), named).collect()]
+    assert sorted(got) == sorted({r[0] for r in rows} - {"x"})
