@@ -174,3 +174,10 @@ def test_sessions_to_read_has_ancestors_of_any_depth(spark):
     named = spark.createDataFrame([("299",)], "session_id string")
     got = [r.id for r in scans.sessions_to_read(s, F.lit(False), named).collect()]
     assert sorted(got) == sorted({r[0] for r in rows} - {"x"})
+
+
+def test_messages_up_to_the_high_water_are_all_that_is_new(spark):
+    m = spark.createDataFrame([(i, "user") for i in (5, 70, 90_000)], "id long, role string")
+    ids = lambda mark: sorted(r.id for r in scans.messages(m, mark, 10, scans.high_water(m, "id", mark), ["user"]).collect())
+    assert ids(0) == [5, 70, 90_000] and ids(75) == [70, 90_000] and ids(100_000) == []
+    assert scans.high_water(m.limit(0), "id", 7) == 7
