@@ -39,13 +39,16 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokenized_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, and its place in the mixture: reading by
+    """The token ids of every document, the SHA-256 of the bytes they decode to
+    (its text's, if the round trip is right), and its place in the mixture: reading by
     (slot, start_byte) gives the mixture, in whatever files the rows are."""
     import public_tokenizers as vocab
 
-    ids = bpe.encode_texts(docs.select("doc_id", "source", "text"), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN, offsets=False)
+    path = vocab.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode_texts(docs.select("doc_id", "source", "text"), path, vocab.PATTERN, offsets=False).drop("text")
+    ids = bpe.decode_tokens(ids, path, vocab.PATTERN).withColumn("decoded_sha256", F.sha2("decoded_bytes", 256)).drop("decoded_bytes", "decoded_text")
     placed = mixing.places(docs, MIX_WEIGHTS, MIX_BLOCK_BYTES, MIX_OTHER).withColumnRenamed("doc_id", "_placed")
-    return ids.join(placed, F.col("doc_id").eqNullSafe(F.col("_placed"))).select("doc_id", "source", "slot", "start_byte", "token_ids")
+    return ids.join(placed, F.col("doc_id").eqNullSafe(F.col("_placed"))).select("doc_id", "source", "slot", "start_byte", "token_ids", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -68,3 +69,10 @@ def test_mixture_survives_the_reread(spark, tmp_path, monkeypatch):
     order = mixing.period(every)
     first = [r for r in got if r.slot < limit]
     assert first and all((r.source if r.source in weights else mixing.OTHER) == order[r.slot % len(order)] for r in first)
+
+
+def test_tokens_are_decoded_to_the_bytes_of_the_text(spark, tmp_path):
+    rows = corpus() + [(9000, "é日本 🎉 a\u0301", "src1")]
+    docs = table(frame(spark, rows), tmp_path)
+    got = dict(corpus_pipeline.STAGES)["byte_bpe"](spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in got) == Counter((k, hashlib.sha256((t or "").encode()).hexdigest()) for k, t, _ in rows)
