@@ -23,12 +23,15 @@ BROADCAST_IDS = 4_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only a local session that names none (tests) gets a temporary folder; on a
+    cluster each machine would write to its own disk, so that is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="chronoledger-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -109,6 +112,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each with as many underscores before it as make it no column of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def with_fields(schema: StructType, *fields: tuple[str, DataType]) -> StructType:
     out = StructType(list(schema.fields))
     for name, kind in fields:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import Stage, lower_ascii, sized_broadcast
+from .common import Stage, lower_ascii, sized_broadcast, unused
 
 #: Characters in a block.  Most documents have one or two; a text of n
 #: characters needs log2(n / 2048) rounds of pairing.
@@ -133,21 +133,23 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     The rows dropped are known by key and digest.  Rows repeated with one key
     and one text are made one first; other rows that share a key are told apart
-    by the digest of the raw text.
+    by the digest of the raw text, that of a null text being null.
     """
     stage = Stage(docs.sparkSession, "exact-dedup")
-    raw = F.sha2(F.coalesce(F.col(text), F.lit("\u0000")), 256)
+    (mark,) = unused(docs, "__raw")
+    raw = F.sha2(F.col(text).cast("binary"), 256)
     marked = docs.select(F.struct(F.col(key).alias("key"), raw.alias("raw")).alias("_key"), F.col(text).alias("_text"))
     rows, groups = _grouped(marked, "_key", "_text", stage)
     each = rows.join(groups, "_rid")
     gone = stage.write(each.filter("_rid <> keep_rid and _key <> keep_id").select(F.col("_key.key").alias("_k"), F.col("_key.raw").alias("_raw")).distinct())
     again = stage.write(each.filter("_rid <> keep_rid and _key <=> keep_id").select(F.col("_key.key").alias("_k"), F.col("_key.raw").alias("_raw")).distinct())
-    on = lambda a, b: a[key].eqNullSafe(b["_k"]) & (a["__raw"] == b["_raw"])
-    keyed = docs.withColumn("__raw", raw)
+    gone, again = (t.toDF(*unused(docs, "__gone_key", "__gone_raw")) for t in (gone, again))
+    on = lambda a, b: a[key].eqNullSafe(b[b.columns[0]]) & a[mark].eqNullSafe(b[b.columns[1]])
+    keyed = docs.withColumn(mark, raw)
     gone = sized_broadcast(gone, 400_000)
     kept = keyed.join(gone, on(keyed, gone), "left_anti")
     if again.isEmpty():
-        return kept.drop("__raw")
+        return kept.drop(mark)
     single = kept.join(again, on(kept, again), "left_anti")
-    repeated = kept.join(again, on(kept, again), "left_semi").dropDuplicates([key, "__raw"])
-    return single.unionByName(repeated).drop("__raw")
+    repeated = kept.join(again, on(kept, again), "left_semi").dropDuplicates([key, mark])
+    return single.unionByName(repeated).drop(mark)

@@ -23,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import BUCKET_ROWS
+from .common import BUCKET_ROWS, unused
 
 #: A period has at most so many slots, and a mixture so many sources; more are refused.
 MAX_PERIOD, MAX_SOURCES = 4096, 256
@@ -153,6 +153,7 @@ def in_mixed_order(docs: DataFrame, weights: Mapping[str, int], block_bytes: int
     key repeats take the earliest place of their key.
     """
     placed = places(docs, weights, block_bytes, other, key, text, source)
-    placed = placed.select(F.col("doc_id").alias("__placed"), F.struct("slot", "start_byte").alias("__place"))
-    joined = docs.join(placed, docs[key].eqNullSafe(placed["__placed"]))
-    return joined.repartitionByRange("__place").sortWithinPartitions("__place").select(*docs.columns)
+    whose, place = unused(docs, "__placed", "__place")
+    placed = placed.select(F.col("doc_id").alias(whose), F.struct("slot", "start_byte").alias(place))
+    joined = docs.join(placed, docs[key].eqNullSafe(placed[whose]))
+    return joined.repartitionByRange(place).sortWithinPartitions(place).select(*docs.columns)

@@ -28,7 +28,7 @@ def frame(spark, rows):
 def clashing(spark, rows):
     """The same rows with columns that operators use inside."""
     df = frame(spark, rows)
-    for name in ("_key", "_text", "_rid", "node", "sig", "size", "slot", "block", "n", "root", "_k", "_place", "_bucket", "token_ids", "text_sha256", "name"):
+    for name in ("_key", "_text", "_rid", "node", "sig", "size", "slot", "block", "n", "root", "_k", "_place", "_bucket", "token_ids", "text_sha256", "name", "__raw", "__placed", "__place", "__gone_key"):
         from pyspark.sql import functions as F
 
         df = df.withColumn(name, F.lit(1))

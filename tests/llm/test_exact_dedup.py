@@ -57,6 +57,15 @@ def test_repeated_rows_and_null_keys_keep_one(spark, tmp_path):
     assert Counter((r.doc_id, (r.text or "").lower()) for r in left.collect()) == Counter([(1, "t"), (None, "u")])
 
 
+def test_null_empty_and_nul_texts_under_one_key(spark, tmp_path):
+    rows = [(1, None, "a"), (1, "\0", "a"), (1, "", "a"), (2, "", "b")]
+    docs = table(clashing(spark, rows), tmp_path)
+    left = exact_dedup.drop_exact_duplicates(docs)
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(1, "\0"), (2, "")]) and left.columns == docs.columns
+    alone = table(frame(spark, rows[:3]), tmp_path, "alone")
+    assert Counter((r.doc_id, r.text or "") for r in exact_dedup.drop_exact_duplicates(alone).collect()) == Counter([(1, "\0"), (1, "")])
+
+
 def test_drop_keeps_the_rows_that_stay(spark, tmp_path):
     rows = corpus()
     docs = table(clashing(spark, rows), tmp_path)
