@@ -17,14 +17,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import regex
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType
 
 from .common import with_fields
 
 #: Texts are encoded in pieces of about so many characters, cut where the
 #: pattern has a boundary whatever stands around it: before a single space
-#: between two printable ASCII characters.  It bounds the library's memory.
+#: between two printable ASCII characters, or, where a text has none, after a
+#: match of the pattern that does not end in a blank (the pattern looks ahead
+#: for blanks only).  The library holds a piece, which is longer only where a
+#: single match is.
 PIECE_CHARS = 1 << 16
 _CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
@@ -59,16 +63,27 @@ def recover_merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 class Codec:
-    """Encodes and decodes texts by one rank file and one splitting pattern."""
+    """Encodes and decodes texts by one rank file and one splitting pattern.
+
+    It goes to the workers as its vocabulary and merges (3 MB for 50,000
+    tokens), recovered once on the driver; each worker makes the model of them
+    once.  So the rank file need not be on the workers' machines.
+    """
 
     def __init__(self, path: str, pattern: str):
+        ranks, shown = read_ranks(path), byte_table()
+        as_text = lambda token: "".join(shown[b] for b in token)
+        self.__setstate__(({as_text(t): r for t, r in ranks.items()}, [(as_text(a), as_text(b)) for a, b in recover_merges(ranks)], pattern))
+
+    def __getstate__(self) -> tuple[dict[str, int], list[tuple[str, str]], str]:
+        return self.parts
+
+    def __setstate__(self, parts: tuple[dict[str, int], list[tuple[str, str]], str]) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-        ranks, shown = read_ranks(path), byte_table()
-        as_text = lambda token: "".join(shown[b] for b in token)
-        merges = [(as_text(a), as_text(b)) for a, b in recover_merges(ranks)]
-        vocab = {as_text(t): r for t, r in ranks.items()}
+        self.parts = vocab, merges, pattern = parts
+        self.matches, shown = regex.compile(pattern), byte_table()
         self.model = Tokenizer(models.BPE(vocab=vocab, merges=merges))
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
@@ -76,17 +91,22 @@ class Codec:
         back = {c: b for b, c in enumerate(shown)}
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in vocab.items()}
 
-    @staticmethod
-    def pieces(text: str) -> Iterator[tuple[int, str]]:
+    def pieces(self, text: str) -> Iterator[tuple[int, str]]:
         """(start, piece) of `text`; no token reaches over a cut."""
         start = 0
         while len(text) - start > PIECE_CHARS:
-            cut = _CUT.search(text, start + PIECE_CHARS)
-            if cut is None:
-                break
-            yield start, text[start : cut.start()]
-            start = cut.start()
-        yield start, text[start:]
+            cut = _CUT.search(text, start + PIECE_CHARS, start + 2 * PIECE_CHARS)
+            at = cut.start() if cut else self._match_end(text, start)
+            yield start, text[start:at]
+            start = at
+        if start < len(text) or not text:
+            yield start, text[start:]
+
+    def _match_end(self, text: str, start: int) -> int:
+        """The end of the first match beyond a piece from `start` that does not
+        end in a blank, or of the text."""
+        ends = (m.end() for m in self.matches.finditer(text, start))
+        return next((e for e in ends if e - start >= PIECE_CHARS and not text[e - 1].isspace()), len(text))
 
     def encode(self, texts: list[str], offsets: bool = True) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
         """Ids of each text, and the characters [start, end) each comes from.
@@ -112,10 +132,15 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One model for each worker process."""
+    """The model of a rank file that the driver reads."""
     return Codec(path, pattern)
 
 
+def _shared(spark: SparkSession, path: str, pattern: str):
+    """The model as a broadcast: workers read no path."""
+    return spark.sparkContext.broadcast(codec(path, pattern))
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = True) -> DataFrame:
     """`docs` with token_ids, and token_starts and token_ends (code points) if
     `offsets`; a null text encodes as an empty one.  Columns of `docs` with
@@ -124,9 +149,10 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", o
     kept = docs.drop(*added)
     ints = pa.list_(pa.int32())
     out = with_fields(kept.schema, *[(name, ArrayType(IntegerType())) for name in added])
+    model = _shared(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = model.value
         for batch in batches:
             for part in _small(batch, text):
                 got = list(own.encode([x or "" for x in part.column(text).to_pylist()], offsets))
@@ -146,9 +172,10 @@ def decode_tokens(docs: DataFrame, path: str, pattern: str, ids: str = "token_id
     """
     added = ["decoded_bytes", "decoded_text"]
     kept = docs.drop(*added)
+    model = _shared(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = model.value
         for batch in batches:
             for part in _small(batch, ids):
                 raw = [own.decode(x or []) for x in part.column(ids).to_pylist()]
@@ -167,9 +194,10 @@ def digest_round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_
     """
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
     schema = with_fields(narrow.select("doc_id").schema, ("n_tokens", LongType()), ("ids_sha256", StringType()), ("decoded_sha256", StringType()))
+    model = _shared(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = model.value
         digest = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             for part in _small(batch, "_text"):

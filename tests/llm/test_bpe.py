@@ -9,7 +9,7 @@ from chronoledger.llm import bpe
 from .fixtures import clashing, corpus, frame
 
 PATH = vocab.path("byte_bpe_50k.tiktoken")
-ODD = ["", " ", "  a  b ", "\r\n\t x", "it's I'LL we're", "日本語 тест ñandú", "👩‍👩‍👧 🇫🇷", "a\u0301e\u0301", "1234567 ٣٤٥", "\u00a0x\u2028y\u0085z", "x" * 3000, "<|endoftext|>", "\x00\x01", "word " * 40000]
+ODD = ["", " ", "  a  b ", "\r\n\t x", "it's I'LL we're", "日本語 тест ñandú", "👩‍👩‍👧 🇫🇷", "a\u0301e\u0301", "1234567 ٣٤٥", "\u00a0x\u2028y\u0085z", "x" * 3000, "<|endoftext|>", "\x00\x01", "word " * 40000, "日本語、テスト。" * 20000, "тест\n" * 30000, "x" * 150000 + "é"]
 
 
 @pytest.fixture(scope="module")
