@@ -15,14 +15,17 @@ B is where the estimated cost of both ways together is least.
 
 Lists are scanned without emitting the pairs of a group.  First each list links
 its members to one hub, the member in which the shared shingle comes earliest;
-what these links join is one component.  Only lists that still hold several
-components are then joined with themselves, between components only.  Each
-candidate passes three lossless tests (sizes, places of the shared shingle,
-parity bitmaps) and is then verified on the full sets.  Equal sets are one node
-throughout.
+what these links join is one component.  Lists that still hold several
+components elect other hubs and ask again.  What is left is scanned: the members
+outside a list's largest component meet those of the other components, and only
+in the first list that both are in, so a pair that shares a hundred lists is one
+candidate and not a hundred.  Each candidate passes three lossless tests (sizes,
+places of the shared shingle, parity bitmaps) and is then verified on the full
+sets.  Equal sets are one node throughout.
 
 No order of the shingles is wrong, so their frequencies may be estimated: a
-count sketch of fixed size over all documents says which are frequent.
+count sketch over all documents, which grows with them up to a bound, says
+which are frequent.
 """
 
 from __future__ import annotations
@@ -34,8 +37,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
+from pyspark.sql.window import Window
 
 from .common import Stage, arrow_rows, components, sized_broadcast
 from .shingles import batches_of, shingle_sets
@@ -43,8 +47,9 @@ from .shingles import batches_of, shingle_sets
 #: Rows of an Arrow batch: texts and sets are large.
 ARROW_ROWS = 1000
 
-#: Cells of the frequency sketch, and the rows it travels in.
-CELL_BITS, CHUNKS = 20, 256
+#: The frequency sketch has 2^20 to 2^24 cells, 8 for each document within these
+#: bounds (64 MB in a task, 16 MB broadcast), and travels in so many rows.
+CELL_BITS, CHUNKS = (20, 24), 256
 
 #: Costs of the boundary's estimate, in shuffled rows: of a posting or subset,
 #: and of a candidate pair (told apart, looked up twice and verified).
@@ -55,9 +60,13 @@ POST_COST, COMPARE_COST = 1.0, 6.0
 #: much more than linked ones can are told apart.
 PRINTS = ((512, 1024), (2048, 4096), (8192, 1 << 31))
 
-#: Lists in which a set asks for a hub: its rarest ones.  The scan that follows
-#: covers all lists, so this sets the work only.
-HUB_LISTS = 8
+#: Lists in which a set asks for a hub: its rarest ones; and how often lists that
+#: hold several components elect new hubs.  The scan that follows covers all
+#: lists, so these set the work only.
+HUB_LISTS, HUB_ROUNDS = 8, 1
+
+#: Lists before its own that a posting remembers in the scan.
+LOOK_BACK = 12
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -147,6 +156,7 @@ class _Join:
 
     def __init__(self, docs: DataFrame, width: int, num: int, den: int, stage: Stage):
         self.docs, self.width, self.num, self.den, self.stage = docs, width, num, den, stage
+        self.cell_bits = min(CELL_BITS[1], max(CELL_BITS[0], (8 * docs.count()).bit_length()))
 
     # -- sets ---------------------------------------------------------------
 
@@ -154,18 +164,19 @@ class _Join:
         """Per row: _key, n, s1, s2 (digest of the set), bits and the prints made
         of them; and the partial sketches of each task in rows that have a chunk."""
         num, den = self.num, self.den
-        width, per = self.width, (1 << CELL_BITS) // CHUNKS
+        width, bits_of_cell = self.width, self.cell_bits
+        per = (1 << bits_of_cell) // CHUNKS
         schema = StructType([self.docs.schema["_key"]]).add("n", IntegerType()).add("s1", LongType()).add("s2", LongType()).add("bits", BinaryType()).add("print", ArrayType(LongType())).add("upper", ArrayType(LongType())).add("chunk", IntegerType()).add("counts", BinaryType())
         shape = pa.schema([("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("bits", pa.binary()), ("print", pa.list_(pa.int64())), ("upper", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells, kind = np.zeros(1 << CELL_BITS, np.uint32), None
+            cells, kind = np.zeros(1 << bits_of_cell, np.uint32), None
             for whole in batches:
                 kind = whole.schema.field("_key").type
                 for batch in batches_of(whole, "_text"):
                     sets = list(shingle_sets(batch.column("_text"), width))
                     every = np.concatenate(sets)
-                    cells += np.bincount((every >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
+                    np.add.at(cells, (every >> np.uint64(64 - bits_of_cell)).astype(np.int64), np.uint32(1))
                     digests = np.array([np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in sets]).reshape(-1, 2)
                     n = np.array([len(x) for x in sets], np.int32)
                     none = pa.nulls(len(sets), pa.int32())
@@ -180,7 +191,7 @@ class _Join:
         return self.docs.select("_key", "_text").mapInArrow(run, schema)
 
     def frequencies(self, described: DataFrame) -> np.ndarray:
-        """The sketch's cells, summed on the executors: 8 MB at any size."""
+        """The sketch's cells, summed on the executors: 128 MB at most."""
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
@@ -190,7 +201,7 @@ class _Join:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
         parts = described.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(total, "chunk int, counts binary")
-        out = np.zeros((CHUNKS, (1 << CELL_BITS) // CHUNKS), np.int64)
+        out = np.zeros((CHUNKS, (1 << self.cell_bits) // CHUNKS), np.int64)
         for row in parts.collect():
             out[row["chunk"]] += np.frombuffer(bytes(row["counts"]), np.int64)
         return out.reshape(-1)
@@ -215,14 +226,14 @@ class _Join:
 
     def postings(self, levels: np.ndarray, boundary: int, new: dict) -> DataFrame:
         """(sig, node, n, pos): subsets of light sets, prefix shingles of the others."""
-        width, num, den = self.width, self.num, self.den
+        width, num, den, bits_of_cell = self.width, self.num, self.den, self.cell_bits
         known = self.docs.sparkSession.sparkContext.broadcast(levels.tobytes())
         names = ["sig", "node", "n", "pos"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
         def signatures(x: np.ndarray, level: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             n, out = len(x), []
-            of = level[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+            of = level[(x >> np.uint64(64 - bits_of_cell)).astype(np.int64)]
             ranked = x[np.argsort(of, kind="stable")[: prefix_length(n, 2, num, den)]]
             if n <= boundary and n > 1:
                 i, j = subsets(len(ranked))
@@ -263,18 +274,19 @@ class _Join:
 
     # -- candidates -------------------------------------------------------------
 
-    def fits(self, a: str, b: str) -> str:
-        """SQL: sizes and places of a shared signature allow a link.
+    def room(self, side: str = "") -> str:
+        """SQL: how far into its order a set's shared shingle may still move; the
+        rooms of two sets that link in this list add up to 0 or more.
 
         If the shared shingle is the first that both have, the pos shingles
         before it differ on each side; every linked pair has such a shingle.
         """
-        num, den = self.num, self.den
-        big, small = f"greatest({a}.n, {b}.n)", f"least({a}.n, {b}.n)"
-        return (
-            f"{den} * cast({small} as long) >= {num} * cast({big} as long) and "
-            f"{num + den} * cast({a}.n + {b}.n - {a}.pos - {b}.pos as long) >= {2 * num} * cast({a}.n + {b}.n as long)"
-        )
+        at = f"{side}." if side else ""
+        return f"({self.den - self.num} * cast({at}n as long) - {self.num + self.den} * cast({at}pos as long))"
+
+    def fits(self, a: str, b: str) -> str:
+        """SQL: sizes and places of a shared signature allow a link."""
+        return f"{self.den} * cast(least({a}.n, {b}.n) as long) >= {self.num} * cast(greatest({a}.n, {b}.n) as long) and {self.room(a)} + {self.room(b)} >= 0"
 
     def verified(self, pairs: DataFrame, ids: DataFrame, new: dict) -> DataFrame:
         """The pairs (a, b) that link, staged.  pairs: distinct, with na and nb."""
@@ -332,56 +344,65 @@ class _Join:
         boundary = choose_boundary(sizes, shared, self.num, self.den)
 
         posted = write(self.postings(levels, boundary, new))
-        lists = write(posted.join(self._worth_scanning(posted, "node"), "sig"))
+        lists = write(posted.join(self._of_several(posted), "sig").distinct())
         drop(posted)
-        found = self.verified(self._hub_pairs(lists), ids, new)
+        found = self.verified(self._hub_pairs(lists.withColumn("root", F.col("node")), F.struct("pos", "node")), ids, new)
         roots = None if found.isEmpty() else components(found, self.stage)
-        mixed = write(self._mixed_lists(lists, roots))
+        for turn in range(HUB_ROUNDS + 1):
+            mixed = write(self._mixed_lists(lists, roots))
+            last = turn == HUB_ROUNDS
+            pairs = self._cross_pairs(mixed, ids) if last else self._hub_pairs(mixed, F.struct(F.xxhash64("node", F.lit(turn)), "node"))
+            more = self.verified(pairs, ids, new)
+            drop(mixed)
+            if not more.isEmpty():
+                found = found.unionByName(more)
+                roots = components(found, self.stage)
         drop(lists)
-        across = self.verified(self._cross_pairs(mixed, ids), ids, new)
-        drop(mixed)
-        if not across.isEmpty():
-            every = found.unionByName(across)
-            roots = components(every, self.stage)
-            found = every
         return ids.select("_key", "n", "node"), found, roots
 
-    def _worth_scanning(self, lists: DataFrame, different: str) -> DataFrame:
-        """(sig) of lists whose members are not all of one `different`; a list of
-        two members, as most are, must also fit as a pair.  Sums and extremes
-        say so, so lists of any length are combined before they are shuffled."""
-        num, den = self.num, self.den
-        known = lists.groupBy("sig").agg(
-            F.min(different).alias("lo"), F.max(different).alias("hi"), F.max("n").alias("big"), F.count(F.lit(1)).alias("members"),
-            F.sum(F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("both"),  # sizes above, places below
+    def _of_several(self, posted: DataFrame) -> DataFrame:
+        """(sig) of lists with several nodes; a list of two members, as most are,
+        must also fit as a pair.  Extremes say so, so lists of any length are
+        combined before they are shuffled, and nothing is summed."""
+        room = F.expr(self.room())
+        known = posted.groupBy("sig").agg(
+            F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("members"),
+            F.min("n").alias("small"), F.max("n").alias("big"), F.min(room).alias("least"), F.max(room).alias("most"),
         )
-        sizes, places = "(both >> 32)", f"(both & {(1 << 32) - 1})"
-        pair = f"{den} * ({sizes} - big) >= {num} * cast(big as long) and {num + den} * ({sizes} - {places}) >= {2 * num} * {sizes}"
-        return known.filter(f"lo < hi and (members > 2 or {pair})").select("sig")
-
-    def _hub_pairs(self, lists: DataFrame) -> DataFrame:
-        hubs = lists.groupBy("sig").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
-        asked = lists.groupBy("node", "n").agg(F.slice(F.array_sort(F.collect_set(F.struct("pos", "sig"))), 1, HUB_LISTS).alias("first")).select("node", "n", F.inline("first"))
-        near = asked.alias("m").join(hubs.select("sig", "hub.*").alias("h"), "sig").filter("m.node <> h.node").filter(self.fits("m", "h"))
+        pair = f"{self.den} * cast(small as long) >= {self.num} * cast(big as long) and least + most >= 0"
+        return known.filter(f"lo < hi and most >= 0 and (members > 2 or {pair})").select("sig")
+
+    def _hub_pairs(self, lists: DataFrame, rank: Column) -> DataFrame:
+        """Pairs of a member and the hub of a list, the least by `rank`, if they
+        are of two components."""
+        hubs = lists.groupBy("sig").agg(F.min_by(F.struct("node", "n", "pos", "root"), rank).alias("hub"))
+        asked = lists.groupBy("node", "n", "root").agg(F.slice(F.array_sort(F.collect_set(F.struct("pos", "sig"))), 1, HUB_LISTS).alias("first")).select("node", "n", "root", F.inline("first"))
+        near = asked.alias("m").join(hubs.select("sig", "hub.*").alias("h"), "sig").filter("m.root <> h.root").filter(self.fits("m", "h"))
         return _pairs(near, "m", "h")
 
     def _mixed_lists(self, lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """Members of lists with several components, with their component."""
-        if roots is None:
-            named = lists.withColumn("root", F.col("node"))
-        else:
-            named = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        named = self.stage.write(named.select("sig", "node", "n", "pos", "root").distinct())
-        return named.join(self._worth_scanning(named, "root"), "sig")
+        """Members of lists with several components, with their component, the
+        largest one of the list (major), and room for a partner there."""
+        named = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = self.stage.write(named.select("sig", "node", "n", "pos", "root", F.expr(self.room()).alias("room")))
+        # By component first: a list of any length is combined before it moves.
+        parts = named.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("members"), F.max("room").alias("most"))
+        held = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("members", "root")).alias("major"), F.max("most").alias("most"))
+        return named.join(held.filter("roots > 1 and most >= 0"), "sig").filter("room + most >= 0").select("sig", "node", "n", "pos", "root", "major")
 
     def _cross_pairs(self, mixed: DataFrame, ids: DataFrame) -> DataFrame:
         """Pairs of different components that a list's scan cannot rule out.
 
         Members go into the scan with a parity print of their set: the cells in
         which two prints differ are at most the shingles in which the sets do.
+        They also know the LOOK_BACK lists of theirs before this one, in the one
+        order that all sets share: two members that have one of these in common
+        meet there or earlier, so they don't meet here.  The first list that both
+        are in is never skipped.
         """
+        before = Window.partitionBy("node").orderBy("pos", "sig").rowsBetween(-LOOK_BACK, -1)
         held = ids.groupBy("node").agg(F.first("print").alias("print"), F.first("upper").alias("upper"))
-        scanned = self.stage.write(mixed.join(held, "node"))
+        scanned = self.stage.write(mixed.withColumn("back", F.collect_list("sig").over(before)).join(held, "node"))
         largest = scanned.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
         found, low = None, 0
         for cells, top in PRINTS:
@@ -389,11 +410,14 @@ class _Join:
             words = [f"p{i}" for i in range(cells // 64)]
             own = F.when(F.col("n") > low, F.col("print")).otherwise(F.col("upper"))
             members = scanned.filter((F.col("n") <= top) & ((F.col("n") > low) | F.col("upper").isNotNull() & (F.col("n") * self.den >= self.num * (low + 1))))
-            members = members.withColumn("own", own).select("sig", "node", "n", "pos", "root", *[F.get("own", F.lit(i)).alias(w) for i, w in enumerate(words)])
+            members = members.withColumn("own", own).select("sig", "node", "n", "pos", "root", "major", "back", *[F.get("own", F.lit(i)).alias(w) for i, w in enumerate(words)])
             apart = " + ".join(f"bit_count(m.{w} ^ h.{w})" for w in words)
             # |x ^ y| <= |x| + |y| - 2 * least overlap of a linked pair of these sizes.
             allowed = f"{self.num + self.den} * cast({apart} as long) <= {self.den - self.num} * (m.n + h.n)"
-            near = members.alias("m").join(members.alias("h"), F.expr(f"m.sig = h.sig and m.root < h.root and greatest(m.n, h.n) > {low} and {self.fits('m', 'h')} and {allowed}"))
+            apart_roots = "m.root <> h.root and (h.root = h.major or m.root < h.root)"
+            near = members.filter("root <> major").alias("m").join(
+                members.alias("h"), F.expr(f"m.sig = h.sig and {apart_roots} and greatest(m.n, h.n) > {low} and {self.fits('m', 'h')} and {allowed} and not arrays_overlap(m.back, h.back)")
+            )
             found = _pairs(near, "m", "h") if found is None else found.unionByName(_pairs(near, "m", "h"))
             low = top
             if largest <= top:

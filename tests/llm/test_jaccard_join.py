@@ -69,6 +69,39 @@ def test_components_are_those_of_all_links(spark, tmp_path, monkeypatch, width,
     assert sorted(map(tuple, got.collect())) == brute(rows, width, num, den)
 
 
+def test_lists_are_scanned_without_hubs(spark, tmp_path, monkeypatch):
+    """Most links of these families are left to the scan between components."""
+    monkeypatch.setattr(J, "HUB_LISTS", 1)
+    monkeypatch.setattr(J, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(J, "LOOK_BACK", 1)
+    rows = mutated(1, groups=3, size=40)
+    got = J.similarity_classes(table(frame(spark, rows), tmp_path), 5, 4, 5)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5, 4, 5)
+
+
+def test_a_pair_is_a_candidate_once(spark, tmp_path, monkeypatch):
+    """Sets that share all their lists without linking meet in one of them."""
+    seen, real, rng = [], J._pairs, random.Random(4)
+    monkeypatch.setattr(J, "_pairs", lambda near, m, h: seen.append(near.count()) or real(near, m, h))
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(30):  # 12 of 400 words differ from the base: about 0.78 between two
+        words = list(base)
+        for at in rng.sample(range(0, 400, 6), 12):
+            words[at] = f"new{k}.{at}"
+        rows.append((k, " ".join(words), None))
+    got = J.similarity_classes(table(frame(spark, rows), tmp_path), 5, 4, 5)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5, 4, 5)
+    assert seen[-1] <= 2 * 30 * 29 // 2
+
+
+def test_lists_of_huge_sets(spark, tmp_path):
+    rows = [(7, i, 1 << 30, i) for i in range(5)] + [(8, 1, 1 << 30, 0), (8, 2, 1 << 30, 1 << 28), (9, 1, 10, 0), (9, 2, 13, 0), (9, 2, 13, 0)] + [(10, 1, 10, 0), (10, 2, 13, 0)]
+    posted = spark.createDataFrame(rows, "sig long, node long, n int, pos int")
+    join = J._Join(table(frame(spark, []), tmp_path), 5, 4, 5, None)
+    assert sorted(r.sig for r in join._of_several(posted).collect()) == [7, 9]
+
+
 def test_sets_are_the_words_sets():
     texts = [t for _, t, _ in corpus()] + ["a\x0bb\x0cc d\re", "\u00a0x y", "İ K ſ"]
     got = list(shingle_sets(pa.array(texts, pa.string()), 4))
