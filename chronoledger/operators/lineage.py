@@ -1,19 +1,45 @@
-"""Cutting the lineage of iterative queries by reliable checkpoints."""
+"""Cutting the lineage of iterative queries by tables written to a shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a local session that names none (tests) gets a temporary folder; on a
+    cluster each machine would write to its own disk, so that is refused.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="chronoledger-")
+        sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed and kept in the folder that spark.checkpoint.dir names.
+    """`df`, computed once, written as Parquet and read again.
 
-    Only a session that names none (local tests) gets a temporary folder.  A
-    checkpoint survives lost executors, and later plans start from it.
+    A written table survives lost executors, and rereading it gives Catalyst its
+    true size, where a checkpoint computes its plan twice and has no statistics.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chronoledger-"))
-    return df.checkpoint()
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` made and nothing reads any more."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t._cut_at)
+        path.getFileSystem(conf).delete(path, True)

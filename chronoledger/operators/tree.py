@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .lineage import cut
+from .lineage import cut, drop
 
 
 def first_parents(events: DataFrame) -> DataFrame:
@@ -17,14 +17,52 @@ def first_parents(events: DataFrame) -> DataFrame:
     return events.filter("session_id is not null").groupBy(F.col("session_id").alias("id")).agg(F.min_by("parent_session_id", F.when(F.col("parent_session_id").isNotNull(), F.col("producer_sequence"))).alias("parent"))
 
 
+def _known_up(nodes: DataFrame) -> DataFrame:
+    """(id, up): the parent pointer, null where it is null or empty."""
+    empty = dict(nodes.dtypes)["parent"] == "string"
+    return nodes.select("id", F.nullif("parent", F.lit("")).alias("up") if empty else F.col("parent").alias("up"))
+
+
+def _walks(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ended, endless): (id, top) of the nodes whose walk up ends, at the
+    farthest id that is named; and (id, up) of those on or below a circle.
+
+    A round doubles the reach of every walk that is still open.  If no walk ends
+    in a round, none ever will: in a tree as deep as the reach some node is just
+    as deep as that.
+    """
+    state = cut(_known_up(nodes).select("id", F.coalesce("up", "id").alias("top"), F.col("up").alias("next")))
+    left = -1
+    while True:
+        still = state.filter("next is not null").count()
+        if still in (0, left):
+            break
+        left = still
+        other = state.select(F.col("id").alias("_n"), F.col("top").alias("_top"), F.col("next").alias("_next"))
+        onward = state.join(other, F.col("next") == F.col("_n"), "left")
+        then = cut(onward.select("id", F.when(F.col("next").isNull(), F.col("top")).otherwise(F.coalesce("_top", "top")).alias("top"), F.col("_next").alias("next")))
+        drop(state)
+        state = then
+    ended = state.filter("next is null").select("id", "top")
+    endless = _known_up(nodes).join(state.filter("next is not null").select("id"), "id", "left_semi") if still else None
+    return ended, endless
+
+
 def roots(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(id, root) of each node (id, parent).
 
     A missing parent is still the root; null and empty parents end the walk.
     Walking stops before a node is met twice: a member of a circle has the node
     right before itself as its root, and what hangs on a circle ends there too.
+    Rows carry two pointers; only those on and below circles carry their path.
     """
-    edges = nodes.select("id", F.nullif("parent", F.lit("").cast(nodes.schema["parent"].dataType)).alias("up")) if dict(nodes.dtypes)["parent"] == "string" else nodes.select("id", F.col("parent").alias("up"))
+    ended, endless = _walks(nodes)
+    ended = ended.select("id", F.col("top").alias("root"))
+    return ended if endless is None else ended.unionByName(_circle_roots(endless, max_rounds))
+
+
+def _circle_roots(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(id, root) of nodes (id, up) on and below circles, by their paths."""
     known = edges.select(F.col("id").alias("k"), "up")
     # path: the nodes walked so far; at: where the walk stands; open: it may go on.
     walk = edges.select("id", F.array("id").alias("path"), F.col("id").alias("at"))
@@ -50,12 +88,14 @@ def closure(nodes: DataFrame, max_rounds: int = 32) -> DataFrame:
     known = nodes.select(F.col("id").alias("child"), F.col("parent").alias("up")).join(nodes.select(F.col("id").alias("up")), "up").filter("child <> up")
     pairs = known.select(F.col("up").alias("ancestor"), F.col("child").alias("id"), F.lit(1).alias("depth"))
     every = nodes.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth")).unionByName(pairs)
-    size = -1
+    size, then = -1, None
     for _ in range(max_rounds):
         lower = every.select(F.col("ancestor").alias("mid"), F.col("id").alias("low"), F.col("depth").alias("d"))
         every = every.join(lower, every["id"] == lower["mid"]).select("ancestor", F.col("low").alias("id"), (F.col("depth") + F.col("d")).alias("depth")).groupBy("ancestor", "id").agg(F.min("depth").alias("depth"))
-        every = cut(every)
-        now = every.count()
+        then, before = cut(every), then
+        if before is not None:
+            drop(before)
+        every, now = then, then.count()
         if now == size:
             break
         size = now
@@ -64,8 +104,37 @@ def closure(nodes: DataFrame, max_rounds: int = 32) -> DataFrame:
 
 def subtree_totals(nodes: DataFrame, own: DataFrame, measures: list[str]) -> DataFrame:
     """For each node the sums of `measures` over it and all below it, each node
-    once.  own: (id, measures)."""
-    return closure(nodes).join(own, "id", "left").groupBy(F.col("ancestor").alias("id")).agg(*[F.sum(F.coalesce(F.col(m), F.lit(0))).alias(m) for m in measures], F.count(F.lit(1)).alias("nodes"))
+    once.  own: (id, measures).
+
+    Sums double as pointers do: a node's sum over the 2^k nearest levels and the
+    sums of the nodes 2^k levels below it are its sum over 2^(k + 1) levels.  So
+    a forest takes a row a node in each of log2(depth) rounds; only nodes on and
+    below circles are told by pairs, as a circle has its members below each other.
+    """
+    parents = nodes.select("id", "parent")
+    _, endless = _walks(parents)
+    held = parents.join(own.select("id", *measures), "id", "left").select("id", "parent", *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures])
+    tree = held if endless is None else held.join(endless.select("id"), "id", "left_anti")
+    out = _tree_totals(tree, measures)
+    if endless is None:
+        return out
+    # Nothing in a circle is below a tree's node, so its nodes are told alone.
+    ringed = closure(endless.select("id", F.col("up").alias("parent"))).join(held.drop("parent"), "id")
+    return out.unionByName(ringed.groupBy(F.col("ancestor").alias("id")).agg(*[F.sum(m).alias(m) for m in measures], F.count(F.lit(1)).alias("nodes")))
+
+
+def _tree_totals(tree: DataFrame, measures: list[str]) -> DataFrame:
+    sums = [*measures, "nodes"]
+    state = tree.join(tree.select(F.col("id").alias("up")), F.col("parent") == F.col("up"), "left").select("id", "up", *measures, F.lit(1).cast("long").alias("nodes"))
+    state = cut(state)
+    while not state.filter("up is not null").isEmpty():
+        below = state.filter("up is not null").groupBy(F.col("up").alias("_at")).agg(*[F.sum(m).alias(f"_{m}") for m in sums])
+        far = state.select(F.col("id").alias("_mid"), F.col("up").alias("_far"))
+        grown = state.join(below, F.col("id") == F.col("_at"), "left").join(far, F.col("up") == F.col("_mid"), "left")
+        then = cut(grown.select("id", F.col("_far").alias("up"), *[(F.col(m) + F.coalesce(F.col(f"_{m}"), F.lit(0))).alias(m) for m in sums]))
+        drop(state)
+        state = then
+    return state.select("id", *sums)
 
 
 def forest(nodes: DataFrame) -> DataFrame:
@@ -73,3 +142,18 @@ def forest(nodes: DataFrame) -> DataFrame:
     an unknown one; members of a pure circle are below no root."""
     tops = nodes.join(nodes.select(F.col("id").alias("parent")), "parent", "left_anti").select(F.col("id").alias("ancestor"))
     return closure(nodes).join(tops, "ancestor", "left_semi").withColumnRenamed("ancestor", "root")
+
+
+def below(nodes: DataFrame, ids: list) -> DataFrame:
+    """(root, id, depth) of the given nodes, each as a root, and all below them;
+    a node on a circle has its members below it, each once."""
+    known = _known_up(nodes)
+    found = cut(known.filter(F.col("id").isin(ids)).select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
+    edge, level = found, 0
+    while True:
+        level += 1
+        child = known.join(edge.select("root", F.col("id").alias("up")), "up").select("root", "id", F.lit(level).alias("depth"))
+        new = cut(child.join(found.select("root", "id"), ["root", "id"], "left_anti"))
+        if new.isEmpty():
+            return found
+        found, edge = found.unionByName(new), new
