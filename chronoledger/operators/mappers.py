@@ -216,7 +216,16 @@ def content_chunks(contents: DataFrame, size: int, key: str = "dedup_key", conte
 
 def reassembled(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     """Parents (content_ref, total_bytes, content_hash) with their content put
-    together again: ok only if every chunk is there once and bytes and hash agree."""
+    together again: ok only if every chunk is there once and bytes and hash agree.
+
+    Where both sides have a producer_sequence, only chunks in the sequences right
+    before the parent count (as many as it says, chunk_count), so a reference
+    that is used again does not take the chunks of an older parent.
+    """
+    if "producer_sequence" in chunks.columns and "producer_sequence" in parents.columns:
+        at = parents.select(F.col("content_ref").alias("_ref"), F.col("producer_sequence").alias("_at"), F.col("chunk_count").alias("_count"))
+        near = (F.col("content_ref") == F.col("_ref")) & F.col("producer_sequence").between(F.col("_at") - F.col("_count"), F.col("_at") - 1)
+        chunks = chunks.join(at, near).select("content_ref", "chunk", "chunks", "data")
     whole = chunks.groupBy("content_ref").agg(
         F.array_sort(F.collect_list(F.struct("chunk", "data"))).alias("parts"), F.max("chunks").alias("chunks"), F.min("chunks").alias("least"), F.count(F.lit(1)).alias("n"),
     )
@@ -227,9 +236,18 @@ def reassembled(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     return out.select("content_ref", F.coalesce(good, F.lit(False)).alias("ok"), F.when(good, F.col("whole")).alias("content"))
 
 
+# The fields of a payload that audits read after it is pruned.
+RETAINED_FIELDS = ("board", "execution_id", "message_row_id", "model", "run_id", "task", "task_id")
+
+
 def retention_summary(events: DataFrame) -> DataFrame:
-    """What stays of a pruned event: identity and the fields that audits read,
-    without times of occurrence and correlation."""
+    """What stays of a pruned event: identity, and of the payload the type and
+    the fields that audits read.  Content, times of occurrence and correlation go."""
     from ..schema import TOMBSTONE
 
-    return events.select(*TOMBSTONE.fieldNames())
+    v = F.try_parse_json("payload")
+    kept = {name: F.try_variant_get(v, f"$.{name}", "variant") for name in ("event_type", *RETAINED_FIELDS)}
+    # Numbers stay numbers: each field is taken over as the JSON it was.
+    parts = [F.when(x.isNotNull(), F.concat(F.lit(f'"{name}":'), F.to_json(x))) for name, x in sorted(kept.items())]
+    narrow = F.concat(F.lit("{"), F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), ","), F.lit("}"))
+    return events.withColumn("payload", F.when(v.isNotNull(), narrow)).select(*TOMBSTONE.fieldNames())

@@ -42,33 +42,42 @@ def prune_set(events: DataFrame, delivered: int, cutoff: float | None = None, ma
 
 
 def prune(events: DataFrame, going: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(survivors, tombstones) of a ledger table, given the prune set."""
+    """(survivors, tombstones) of a ledger table, given the prune set.  Tombstones
+    hold no content: see retention_summary."""
     from .mappers import retention_summary
 
     keys = ["installation_id", "producer_sequence"]
     return events.join(going, keys, "left_anti"), retention_summary(events.join(going, keys, "left_semi"))
 
 
-def ship_batches(records: DataFrame, max_records: int, max_bytes: int, base_bytes: int, key: str = "installation_id", order: str = "producer_sequence", size: str = "bytes") -> DataFrame:
+def ship_batches(records: DataFrame, max_records: int, max_bytes: int, base_bytes: int, key: str = "installation_id", order: str = "producer_sequence", size: str = "bytes", max_batches: int | None = None) -> DataFrame:
     """(key, order, batch): records packed in order, a new batch when the current
     one has `max_records` or the next record with its separator would exceed
-    `max_bytes`; a record above the limit goes alone.
+    `max_bytes`; a record above the limit goes alone.  With `max_batches` only
+    the first so many batches of each key.
 
     Where a batch starts depends on where the last one did, so this is a fold
-    over each key's sizes: the array of one key's unshipped records, which the
-    caller bounds by its cursor.
+    over each key's sizes, which keeps the starts only; the records then take
+    their batch from a running count of starts.  `max_batches` bounds the fold:
+    the first n batches lie within the first n * max_records records.
     """
+    if max_batches is not None:
+        ranked = running_total(records.withColumn("_one", F.lit(1)), key, order, "_one", "_rank")
+        records = ranked.filter(F.col("_rank") <= max_batches * max_records).drop("_one", "_rank")
     def step(a: Column, r: Column) -> Column:
         full = (a["n"] > 0) & ((a["n"] >= max_records) | (a["used"] + r["size"] + 1 > max_bytes))
         batch = a["batch"] + full.cast("int")
         used = F.when(full | (a["n"] == 0), F.lit(base_bytes).cast("bigint") + r["size"]).otherwise(a["used"] + r["size"] + 1)
         n = F.when(full, F.lit(1)).otherwise(a["n"] + 1)
-        return F.struct(batch.alias("batch"), n.alias("n"), used.alias("used"), F.concat(a["out"], F.array(batch)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(base_bytes).cast("bigint").alias("used"), F.array().cast("array<int>").alias("out"))
-    listed = records.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("size")))).alias("rows"))
-    packed = listed.withColumn("batches", F.aggregate("rows", start, step, lambda a: a["out"]))
-    return packed.select(key, F.inline(F.arrays_zip(F.col("rows.o").alias("o"), "batches"))).select(key, F.col("o").alias(order), F.col("batches").cast("long").alias("batch"))
+        starts = F.when(full, F.concat(a["starts"], F.array(r["o"]))).otherwise(a["starts"])
+        return F.struct(batch.alias("batch"), n.alias("n"), used.alias("used"), starts.alias("starts"))
+
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(base_bytes).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("starts"))
+    listed = records.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.col(size).cast("bigint").alias("size")))).alias("rows"))
+    starts = listed.select(F.col(key).alias("_k"), F.explode(F.aggregate("rows", start, step, lambda a: a["starts"])).alias("_o"))
+    marked = records.select(key, order).join(starts, (F.col(key) == F.col("_k")) & (F.col(order) == F.col("_o")), "left").select(key, order, F.col("_o").isNotNull().cast("long").alias("_first"))
+    packed = running_total(marked, key, order, "_first", "batch").select(key, order, "batch")
+    return packed if max_batches is None else packed.filter(F.col("batch") < max_batches)
 
 
 def unshipped_keys(keys: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -86,16 +89,22 @@ def limit_files(files: DataFrame, max_count: int, max_file: int, max_total: int)
 
     In order of path: files beyond the first `max_count` are skipped, then those
     above `max_file`, then those that do not fit into what `max_total` leaves; a
-    skipped file takes up none of it.  A fold over each artifact's sizes.
+    skipped file takes up none of it.  A fold over the sizes of each artifact's
+    first `max_count` files; what is beyond them needs none.
     """
+    rank = F.row_number().over(Window.partitionBy("artifact_id").orderBy("path"))
+    ranked = files.withColumn("_rank", rank)
+    beyond = ranked.filter(F.col("_rank") > max_count).select("artifact_id", "path", F.col("size").cast("bigint").alias("size"), F.lit("max_file_count").alias("skipped"))
+    files = ranked.filter(F.col("_rank") <= max_count).drop("_rank")
+
     def step(a: Column, f: Column) -> Column:
-        why = F.when(a["i"] >= max_count, "max_file_count").when(f["size"] > max_file, "max_file_bytes").when(a["used"] + f["size"] > max_total, "max_artifact_bytes")
+        why = F.when(f["size"] > max_file, "max_file_bytes").when(a["used"] + f["size"] > max_total, "max_artifact_bytes")
         out = F.struct(f["path"].alias("path"), f["size"].alias("size"), why.alias("skipped"))
-        return F.struct((a["i"] + 1).alias("i"), F.when(why.isNull(), a["used"] + f["size"]).otherwise(a["used"]).alias("used"), F.concat(a["out"], F.array(out)).alias("out"))
+        return F.struct(F.when(why.isNull(), a["used"] + f["size"]).otherwise(a["used"]).alias("used"), F.concat(a["out"], F.array(out)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<path:string,size:bigint,skipped:string>>").alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<path:string,size:bigint,skipped:string>>").alias("out"))
     listed = files.groupBy("artifact_id").agg(F.array_sort(F.collect_list(F.struct("path", F.col("size").cast("bigint").alias("size")))).alias("files"))
-    return listed.select("artifact_id", F.inline(F.aggregate("files", start, step, lambda a: a["out"])))
+    return listed.select("artifact_id", F.inline(F.aggregate("files", start, step, lambda a: a["out"]))).unionByName(beyond)
 
 
 def captured_changes(disk: DataFrame, latest: DataFrame) -> DataFrame:
@@ -199,6 +208,8 @@ def fold_memory(entries: list[str], operations: list[dict]) -> list[str] | None:
     text fits several different entries."""
     out = list(entries)
     for op in operations:
+        if not isinstance(op, dict):
+            return None
         action, content, old = (op.get(k) for k in ("action", "content", "old_text"))
         text = content.strip() if isinstance(content, str) else ""
         if action == "add":
@@ -213,31 +224,52 @@ def fold_memory(entries: list[str], operations: list[dict]) -> list[str] | None:
     return out
 
 
+def _object(text: str | None) -> dict:
+    """A JSON object; an empty one for anything else."""
+    try:
+        found = json.loads(text or "{}")
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def memory_after(state: dict[str, str] | None, file: str, action: str, args: dict, result: dict) -> dict[str, str] | None:
+    """A memory's file after one call; None if that cannot be told.
+
+    What a memory held before it was first seen, or after a call that could not
+    be applied, is unknown.  It is taken to have been empty only if the call's
+    result counts as many entries as that would leave.
+    """
+    known = state is not None and file in state
+    entries = [x.strip() for x in state[file].split(MEMORY_DELIMITER) if x.strip()] if known else []
+    operations = args.get("operations")
+    done = fold_memory(entries, operations if isinstance(operations, list) and operations else [{**args, "action": action}])
+    count = result.get("entry_count")
+    agrees = isinstance(count, int) and not isinstance(count, bool) and done is not None and count == len(done)
+    return {file: MEMORY_DELIMITER.join(done)} if done is not None and (known or agrees) else None
+
+
 def after_states(mutations: DataFrame) -> DataFrame:
     """(artifact_id, at, files as JSON) after each mutation (artifact_id, kind,
-    name, at, action, arguments) in order; null where it cannot be applied, and
-    then from there on until the artifact is created anew.
+    name, at, action, arguments, and result if there is one) in order; null where
+    it cannot be told, and then from there on until the artifact is created anew
+    or a memory's result tells its size.  Arguments and results that are no JSON
+    objects are empty ones.
 
     A fold with free text edits per artifact, so it runs as Python over one
     artifact's mutations at a time.
     """
-    import json
-
-    import pandas as pd
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state: dict[str, str] | None = None
         rows = []
         for r in pdf.sort_values("at").itertuples():
-            args = json.loads(r.arguments or "{}")
+            args = _object(r.arguments)
             if r.kind == "memory":
-                file = "USER.md" if r.name == "user" else "MEMORY.md"
-                old = [x.strip() for x in (state or {}).get(file, "").split(MEMORY_DELIMITER) if x.strip()]
-                done = fold_memory(old, args.get("operations") or [{**args, "action": r.action}])
-                state = None if done is None else {file: MEMORY_DELIMITER.join(done)}
+                state = memory_after(state, "USER.md" if r.name == "user" else "MEMORY.md", r.action, args, _object(r.result))
             else:
                 state = fold_skill(state, r.action, args)
             rows.append((r.artifact_id, r.at, None if state is None else json.dumps(state, sort_keys=True, ensure_ascii=False)))
         return pd.DataFrame(rows, columns=["artifact_id", "at", "files"])
 
-    return mutations.select("artifact_id", "kind", "name", "at", "action", "arguments").groupBy("artifact_id").applyInPandas(run, "artifact_id string, at long, files string")
+    result = F.col("result") if "result" in mutations.columns else F.lit(None).cast("string").alias("result")
+    return mutations.select("artifact_id", "kind", "name", "at", "action", "arguments", result).groupBy("artifact_id").applyInPandas(run, "artifact_id string, at long, files string")
