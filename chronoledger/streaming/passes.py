@@ -8,21 +8,22 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.lineage import cut
+
 
 def run_pass(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]], now: float, enabled: Mapping[str, bool] | None = None) -> tuple[DataFrame | None, DataFrame]:
     """(records of all sources that could be read, health rows).
 
-    A source that fails, in planning or in reading its schema, is left out of
-    this pass and marked; the others go on.  Health: (source, at, ok, error).
+    A source that fails, in planning or while it is read, is left out of this
+    pass and marked; the others go on.  Each source is read once, into a table
+    of its own that the records are taken from.  Health: (source, at, ok, error).
     """
     parts, health = [], []
     for name, source in sources.items():
         if enabled is not None and not enabled.get(name, True):
             continue
         try:
-            df = source()
-            df.schema  # noqa: B018  (resolves the plan)
-            parts.append(df)
+            parts.append(cut(source()))
             health.append((name, now, True, None))
         except (PySparkException, OSError, ValueError) as e:
             health.append((name, now, False, str(e)[:200]))

@@ -3,12 +3,13 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from chronoledger.operators import attribution
 from chronoledger.operators.mappers import hook_records
-from chronoledger.streaming.processors import CounterDeltas, PairInvocations, run_stateful
+from chronoledger.streaming.processors import CounterDeltas, GraceSightings, KeepWindows, PairInvocations, run_stateful
 from chronoledger.streaming.sink import LedgerSink
 
 SCHEMA = "installation_id string, arrival long, dedup_key string, event_type string"
@@ -46,6 +47,92 @@ def test_a_batch_tried_again_takes_the_same_sequences(spark, tmp_path):
     assert sorted(r.producer_sequence for r in sink.ledger().collect()) == list(range(1, 61))
 
 
+def test_tombstones_and_invalid_rows_take_no_sequence(spark, tmp_path):
+    pruned = spark.createDataFrame([("k3",), ("k4",)], "dedup_key string")
+    schema = SCHEMA + ", envelope string, capture_method string, occurred_at double"
+    sink = LedgerSink(spark, str(tmp_path / "ledger"), schema, tombstones=lambda: pruned, envelope="envelope", horizon=100.0)
+    good = json.dumps({
+        "schema_version": "1", "event_id": "e", "producer_sequence": 1, "occurred_at": 1.5, "recorded_at": 2.5, "installation_id": "i", "tenant_id": "t", "profile": "p", "runtime": {}, "correlation_id": "c",
+        "source": "s", "capture_method": "m", "payload": {"event_type": "session.created"}, "partial": False,
+    })
+    rows = [("i", k, f"k{k}", "t", "{}" if k % 5 == 0 else good, "poll:state.db", 50.0 if k == 9 else 150.0) for k in range(20)]
+    sink.append(spark.createDataFrame(rows[:10], schema), 0)
+    sink.append(spark.createDataFrame(rows[8:], schema), 1)
+    assert sorted(r.dedup_key for r in sink.rejects().collect()) == ["k0", "k10", "k15", "k5"]
+    got = sorted((r.producer_sequence, r.dedup_key) for r in sink.ledger().collect())
+    assert [s for s, _ in got] == list(range(1, len(got) + 1))
+    assert {k for _, k in got} == {f"k{k}" for k in range(20) if k % 5 and k not in (3, 4, 9)}
+
+
+def test_compacted_keys_are_still_known(spark, tmp_path):
+    sink = LedgerSink(spark, str(tmp_path / "ledger"), SCHEMA)
+    batch = lambda a, b: spark.createDataFrame([tuple(x.values()) for x in lines(60)[a:b]], SCHEMA)
+    for n in range(4):
+        sink.append(batch(10 * n, 10 * n + 15), n)
+    sink.compact()
+    sink.compact()
+    assert sink._complete("keys", "upto") == [2] and sink._keys(4).count() == 45
+    sink.append(batch(0, 60), 4)
+    sink.append(batch(30, 45), 3)  # a retry of a batch that the index does not hold
+    got = sink.ledger()
+    assert sorted(r.producer_sequence for r in got.collect()) == list(range(1, 61)) and got.select("dedup_key").distinct().count() == 60
+
+
+def test_a_source_that_fails_while_it_is_read_is_left_out(spark):
+    from chronoledger.streaming.passes import run_pass
+
+    good = lambda: spark.range(5).select(F.lit("t").alias("event_type"))
+    bad = lambda: spark.range(5).select(F.raise_error(F.lit("damaged file")).cast("string").alias("event_type"))
+    records, health = run_pass(spark, {"good": good, "bad": bad, "off": bad}, 1.0, {"off": False})
+    assert records.count() == 5
+    assert {r.source: r.ok for r in health.collect()} == {"good": True, "bad": False}
+
+
+class Held:
+    """A value or a list that a processor keeps for one key."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return iter(self.value or []) if isinstance(self.value, (list, type(None))) else self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    def getValueState(self, name, schema):
+        return Held()
+
+    getListState = getValueState
+
+
+def fed(processor, key, batches, columns):
+    processor.init(Handle())
+    return [tuple(r) for b in batches for out in processor.handleInputRows((key,), iter([pd.DataFrame(b, columns=columns)]), None) for r in out.itertuples(index=False)]
+
+
+def test_absent_subjects_are_told_once_after_the_grace():
+    batches = [[("s", 10.0, True)], [("s", 300.0, True), ("s", 309.0, True)], [("s", 310.0, True), ("s", 900.0, True)], [("s", 901.0, False), ("s", 902.0, True)], [("s", 1202.0, True)]]
+    assert fed(GraceSightings(300.0), "s", batches, ["subject", "at", "absent"]) == [("s", 10.0, 310.0), ("s", 902.0, 1202.0)]
+
+
+def test_newest_windows_are_kept():
+    columns = ["session_id", "invocation_id", "started_at", "ended_at"]
+    batches = [[("s", "a", 1.0, None), ("s", "b", 2.0, None)], [("s", "a", None, 1.5), ("s", "c", 3.0, 4.0)], [("s", "d", 5.0, None)], [("s", "b", 2.0, 9.0)]]
+    got = fed(KeepWindows(2), "s", batches, columns)
+    assert [(r[1], r[2], None if pd.isna(r[3]) else r[3]) for r in got] == [("a", 1.0, None), ("b", 2.0, None), ("c", 3.0, 4.0), ("d", 5.0, None)]
+
+
 def test_hook_lines(spark):
     text = [
         '{"event_type": "session:start", "captured_at": 5, "context": {"session_id": "s", "session_key": "k", "platform": "chat"}}', "", "{broken", '{"event_type": "other"}', '"text"',
