@@ -59,3 +59,53 @@ def minutes_between(lower: Column, upper: Column) -> Column:
     first = (F.ceil(lower / F.lit(60.0)) * 60).cast("long")
     last = F.floor(upper).cast("long")
     return F.when(first <= last, F.sequence(first, last, F.lit(60).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+_FIELD = r"^(\*|\d+(-\d+)?)?(/\d+)?$"
+
+
+def _allowed(text: Column, low: int, high: int) -> Column:
+    """Sorted values that a field (a column of text) allows; null if it is no
+    valid one."""
+    def values(item: Column) -> Column:
+        span, step = F.split_part(item, F.lit("/"), F.lit(1)), F.split_part(item, F.lit("/"), F.lit(2))
+        every = F.when(F.contains(item, F.lit("/")), step.try_cast("int")).otherwise(F.lit(1))
+        whole = span.isin("", "*")
+        first = F.when(whole, F.lit(low)).otherwise(F.split_part(span, F.lit("-"), F.lit(1)).try_cast("int"))
+        last = F.when(whole, F.lit(high)).when(F.contains(span, F.lit("-")), F.split_part(span, F.lit("-"), F.lit(2)).try_cast("int")).otherwise(first)
+        good = item.rlike(_FIELD) & (item != "") & (every >= 1) & (first >= low) & (first <= last) & (last <= high)
+        return F.when(good, F.sequence(first, last, every))
+
+    parts = F.transform(F.split(text, ",", -1), values)
+    return F.when(F.forall(parts, lambda p: p.isNotNull()), F.array_sort(F.array_distinct(F.flatten(parts))))
+
+
+def cron_fields(expression: Column) -> Column:
+    """parse_cron of a column: struct of the values that each field allows; null
+    for what is no valid expression, so every row may have its own."""
+    parts = F.split(F.trim(F.regexp_replace(expression, r"\s+", " ")), " ", -1)
+    fields = [_allowed(F.get(parts, F.lit(i)), low, high).alias(name) for i, (name, low, high) in enumerate(BOUNDS)]
+    made = F.struct(*fields)
+    valid = F.size(parts) == len(BOUNDS)
+    for name, _, _ in BOUNDS:
+        valid = valid & made[name].isNotNull()
+    return F.when(F.coalesce(valid, F.lit(False)), made)
+
+
+def instants_of(cron: Column, lower: Column, upper: Column, zone_seconds: Column) -> Column:
+    """The instants (epoch seconds, long) from `lower` to `upper` that `cron`
+    (of cron_fields) names by the wall clock of the zone, in order: days first,
+    then their hours and minutes."""
+    zone = zone_seconds.cast("long")
+    first, last = F.floor((lower + zone) / 86400).cast("long"), F.floor((upper + zone) / 86400).cast("long")
+    days = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    def named(day: Column) -> Column:
+        wall = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int"))
+        of_month, of_week = F.array_contains(cron["day"], F.dayofmonth(wall)), F.array_contains(cron["weekday"], F.dayofweek(wall) - 1)
+        both = (F.size(cron["day"]) < 31) & (F.size(cron["weekday"]) < 7)
+        return F.array_contains(cron["month"], F.month(wall)) & F.when(both, of_month | of_week).otherwise(of_month & of_week)
+
+    minute = lambda d, h: F.transform(cron["minute"], lambda m: d * 86400 + h * 3600 + m * 60 - zone)
+    every = F.flatten(F.transform(F.filter(days, named), lambda d: F.flatten(F.transform(cron["hour"], lambda h: minute(d, h)))))
+    return F.filter(every, lambda t: (t >= lower) & (t <= upper))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..functions.schedule import Cron, minutes_between
+from ..functions.schedule import Cron, cron_fields, instants_of, minutes_between
 from .mappers import payload_of
 
 #: Sequences that one bucket of the gap scan covers.
@@ -73,18 +73,20 @@ def gap_findings(gaps: DataFrame, now: float) -> DataFrame:
     )
 
 
-def captured_subjects(events: DataFrame) -> DataFrame:
+def captured_subjects(events: DataFrame, null_part: str | None = None) -> DataFrame:
     """(subject_type, subject_id) that events cover, each once.  Any event with a
     message_row_id covers that message.  Parts of a composite id that are null
-    make it null, and null ids cover nothing."""
+    make it null, and null ids cover nothing; only usage is known with null parts
+    too, if `null_part` says how they are spelled."""
     kind, text = F.col("event_type"), F.col("payload")
     get = lambda name: F.get_json_object(text, f"$.{name}")
     pair = lambda a, b: F.concat(a, F.lit(":"), b)
+    part = lambda x: x if null_part is None else F.coalesce(x, F.lit(null_part))
     task = kind.startswith("task.")
     covers = {
         "session": F.when(kind.isin("session.created", "subagent.child_spawned"), F.col("session_id")),
         "message": get("message_row_id"),
-        "model_usage": F.when(kind == "model.usage_recorded", F.concat(F.col("session_id"), F.lit(":"), get("model"), F.lit(":"), get("task"))),
+        "model_usage": F.when(kind == "model.usage_recorded", F.concat(part(F.col("session_id")), F.lit(":"), part(get("model")), F.lit(":"), part(get("task")))),
         "execution": F.when(kind == "cron.run_claimed", get("execution_id")),
         "task": F.when(task, pair(get("board"), get("task_id"))),
         "task_run": F.when(task, pair(get("board"), get("run_id"))),
@@ -218,6 +220,11 @@ def cron_misses(jobs: DataFrame, fires: DataFrame, cron: Cron, now: float, lookb
     first = fires.groupBy("job_id").agg(F.min("at").alias("first_fire"))
     anchored = jobs.join(first, "job_id", "left").withColumn("lower", F.greatest(F.coalesce("first_fire", "created"), F.lit(now - lookback))).filter("lower is not null")
     due = anchored.select("job_id", F.explode(minutes_between(F.col("lower"), F.lit(now))).alias("instant")).filter(cron.admits(F.col("instant"), zone_seconds))
+    return _runs_of_misses(due, fires, now, slack)
+
+
+def _runs_of_misses(due: DataFrame, fires: DataFrame, now: float, slack: float) -> DataFrame:
+    """(job_id, first, missed, tail) of expected instants (job_id, instant)."""
     width = 2 * slack
     reach = fires.select(F.col("job_id").alias("j"), "at", F.explode(F.array(*[F.floor(F.col("at") / width) + i for i in (-1, 0, 1)])).alias("b"))
     hit = _near(due, reach, width, slack)
@@ -228,6 +235,24 @@ def cron_misses(jobs: DataFrame, fires: DataFrame, cron: Cron, now: float, lookb
     return islands.join(newest, "job_id").select("job_id", "first", "missed", ((F.col("island") == F.col("newest")) & (F.col("last") >= now - 60)).alias("tail"))
 
 
+def cron_job_misses(jobs: DataFrame, fires: DataFrame, now: float, lookback: float, slack: float) -> DataFrame:
+    """cron_misses of jobs that each have an expression and a zone of their own:
+    (job_id, first, missed, tail), all in one plan.
+
+    jobs: (job_id, expression, created_at, next_run_at: ISO texts).  The zone is
+    the offset of created_at, else of next_run_at, else UTC.  Jobs whose
+    expression is no valid one expect nothing.  The instants of a job are made of
+    the days, hours and minutes that its fields allow, not filtered from all
+    minutes.
+    """
+    first = fires.groupBy("job_id").agg(F.min("at").alias("first_fire"))
+    offset = lambda c: F.when(F.col(c).rlike(r"(Z|[+-]\d\d:?\d\d)$"), S.zone_seconds(c))
+    known = jobs.withColumn("cron", cron_fields(F.col("expression"))).filter("cron is not null").withColumn("zone", F.coalesce(offset("created_at"), offset("next_run_at"), F.lit(0)))
+    anchored = known.join(first, "job_id", "left").withColumn("lower", F.greatest(F.coalesce("first_fire", S.to_epoch("created_at")), F.lit(now - lookback))).filter("lower is not null")
+    due = anchored.select("job_id", F.explode(instants_of(F.col("cron"), F.col("lower"), F.lit(now), F.col("zone"))).alias("instant"))
+    return _runs_of_misses(due, fires, now, slack)
+
+
 def _near(due: DataFrame, reach: DataFrame, width: float, slack: float) -> DataFrame:
     asked = due.withColumn("bucket", F.floor(F.col("instant") / width))
     close = asked.join(reach.withColumnRenamed("b", "bucket").withColumnRenamed("j", "job_id"), ["job_id", "bucket"]).filter(F.abs(F.col("at") - F.col("instant")) <= slack).select("job_id", "instant").distinct()
@@ -294,6 +319,31 @@ def drifted(disk: DataFrame, latest: DataFrame) -> DataFrame:
     return disk.join(latest, "artifact_id").filter(~F.col("disk_hash").eqNullSafe(F.col("manifest_hash")) | ~F.col("skipped").eqNullSafe(F.col("skipped_files")))
 
 
+def drift_findings(disk: DataFrame, latest: DataFrame, now: float, grace: float) -> DataFrame:
+    """Findings about artifacts whose disk differs from the store for longer than
+    `grace`.  disk: (artifact_id, kind, disk_hash, skipped, changed_at), without
+    empty artifacts.  latest: (artifact_id, manifest_hash, skipped_files,
+    tombstone); artifacts without a version drift too, and a tombstone has no hash."""
+    known = latest.select("artifact_id", F.when(~F.col("tombstone"), F.col("manifest_hash")).alias("manifest_hash"), "skipped_files")
+    both = disk.join(known, "artifact_id", "left")
+    differs = ~F.col("disk_hash").eqNullSafe(F.col("manifest_hash")) | ~F.coalesce("skipped", F.array().cast("array<string>")).eqNullSafe(F.coalesce("skipped_files", F.array().cast("array<string>")))
+    late = both.filter(differs & (F.lit(now) - F.col("changed_at") > grace))
+    return finding(
+        late, "reconcile.gap_detected", F.lit(now), F.concat(F.lit("knowledge:"), "artifact_id"), F.concat_ws(":", F.lit("reconcile:knowledge"), "artifact_id", "disk_hash"),
+        gap_kind=F.lit("uncaptured_knowledge"), subject_type=F.col("kind"), subject_id=F.col("artifact_id"), source_table=F.lit("fs:knowledge"), disk_manifest_hash=F.col("disk_hash"), stored_manifest_hash=F.col("manifest_hash"),
+    )
+
+
+def healed(findings: DataFrame, versions: DataFrame) -> DataFrame:
+    """Versions (artifact_id, seq, manifest_hash, origin) that bring the store up
+    to the disk, numbered after each artifact's last; a second run finds no drift
+    and makes none."""
+    last = versions.groupBy("artifact_id").agg(F.max("seq").alias("_last"))
+    get = lambda name: F.get_json_object("payload", f"$.{name}")
+    own = findings.select(get("subject_id").alias("artifact_id"), get("disk_manifest_hash").alias("manifest_hash"))
+    return own.join(last, "artifact_id", "left").select("artifact_id", (F.coalesce("_last", F.lit(0)) + 1).cast("long").alias("seq"), "manifest_hash", F.lit("heal").alias("origin"))
+
+
 def unemitted(versions: DataFrame, cursors: DataFrame) -> DataFrame:
     """Versions (artifact_id, seq) beyond what the artifact's cursor (artifact_id,
     emitted) has shipped; without a cursor all are."""
