@@ -196,26 +196,70 @@ SUMMARY_FIELDS = {
 }
 
 
-def _shown(payload: Column, variant: Column, name: Column) -> Column:
-    """`name=value` of a top-level field, null where it is absent or null."""
-    path = F.concat(F.lit("$['"), name, F.lit("']"))
-    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
-    text = F.try_variant_get(variant, path, "string")
-    number = F.try_variant_get(variant, path, "double")
+# Spellings of the home mode and what they stand for.
+HOME_MODES = {"auto": "auto", "host": "real", "isolated": "profile", "profile": "profile", "profile-home": "profile", "profile_home": "profile", "real": "real", "real-home": "real", "real_home": "real", "user": "real"}
+
+
+def home_mode(value: ColumnLike) -> Column:
+    """`auto`, `real` or `profile`; `auto` for null and for what is none."""
+    table = F.create_map(*[F.lit(x) for pair in HOME_MODES.items() for x in pair])
+    return F.coalesce(F.element_at(table, F.lower(F.trim(_col(value)))), F.lit("auto"))
+
+
+def home_mode_of_config(text: ColumnLike) -> Column:
+    """The home mode that a configuration file names: the first line `home_mode:`
+    inside its top-level block `terminal:`, without comment and quotes."""
+    lines = F.filter(F.split(_col(text), r"\r?\n", -1), lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
+    top = lambda x: ~x.rlike(r"^[ \t]")
+    step = lambda a, x: F.when(a["done"], a).otherwise(F.struct(
+        F.when(top(x), x.rlike(r"^terminal\s*(:|$)")).otherwise(a["within"]).alias("within"),
+        (~top(x) & a["within"] & x.rlike(r"^\s*home_mode\s*(:|$)")).alias("done"), x.alias("line"),
+    ))
+    found = F.aggregate(lines, F.struct(F.lit(False).alias("within"), F.lit(False).alias("done"), F.lit("").alias("line")), step, lambda a: F.when(a["done"], a["line"]))
+    value = F.trim(F.regexp_replace(F.regexp_replace(found, r"^\s*home_mode\s*:?", ""), "#.*$", ""))
+    return home_mode(F.regexp_replace(value, r"^['\"]+|['\"]+$", ""))
+
+
+def runtime_stamp(kind: ColumnLike, mode: Column | None = None) -> Column:
+    """JSON of a record's runtime: its kind and engine, and the home mode if given."""
+    fields = [_col(kind).alias("kind"), F.lit("standard").alias("engine")]
+    return F.to_json(F.struct(*fields, *([] if mode is None else [mode.alias("home_mode")])))
+
+
+def gateway_stamp(channels: Column, gateway_id: Column) -> Column:
+    """The stamp of a gateway's record: its channels by name (none if null) and
+    its id if it has one."""
+    none = F.array().cast("array<string>")
+    return F.to_json(F.struct(F.lit("gateway").alias("kind"), F.lit("standard").alias("engine"), F.coalesce(channels, none).alias("channels"), gateway_id.alias("gateway_id")))
+
+
+def payload_fields(payload: ColumnLike) -> Column:
+    """The top-level fields of a JSON object as map<string,variant>, empty for
+    other text.  It parses the text: put it into a column of its own before a
+    summary names it many times."""
+    found = F.try_variant_get(F.try_parse_json(_col(payload)), "$", "map<string,variant>")
+    return F.coalesce(found, F.create_map().cast("map<string,variant>"))
+
+
+def _shown(value: Column, name: Column) -> Column:
+    """`name=value` of a field, null where it is absent or null."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    number = F.try_variant_get(value, "$", "double")
     spelled = F.when(kind == "BOOLEAN", F.initcap(text)).when(kind.startswith("DECIMAL") | (kind == "DOUBLE") | (kind == "FLOAT"), short_number(number)).otherwise(short_text(text))
     return F.when(text.isNotNull(), F.concat(name, F.lit("="), spelled))
 
 
-def payload_summary(event_type: ColumnLike, payload: ColumnLike, content_hash: ColumnLike, partial: ColumnLike) -> Column:
-    """The fields shown of a payload: those of its type, else the first four
-    keys in alphabetical order; then the content hash and `partial`."""
-    kind, text = _col(event_type), _col(payload)
+def payload_summary(event_type: ColumnLike, fields: ColumnLike, content_hash: ColumnLike, partial: ColumnLike) -> Column:
+    """The fields (of payload_fields) shown of a payload: those of its type, else
+    the first four keys in alphabetical order; then the content hash and `partial`."""
+    kind, held = _col(event_type), _col(fields)
     table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(f) for f in x]) for pair in SUMMARY_FIELDS.items() for x in pair])
-    other = F.slice(F.array_sort(F.filter(F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")), lambda k: k != "event_type")), 1, 4)
+    other = F.slice(F.array_sort(F.filter(F.map_keys(held), lambda k: k != "event_type")), 1, 4)
     names = F.coalesce(F.element_at(table, kind), other)
     known = F.element_at(table, kind).isNotNull()
-    variant = F.try_parse_json(text)
-    parts = F.transform(names, lambda n: F.coalesce(_shown(text, variant, n), F.when(~known, F.concat(n, F.lit("=None")))))
+    entry = lambda n: F.coalesce(F.transform(F.array(F.element_at(held, n)), lambda v: _shown(v, n))[0], F.when(~known, F.concat(n, F.lit("=None"))))
+    parts = F.transform(names, entry)
     tail = F.array(F.when(_col(content_hash) != "", F.concat(F.lit("hash="), F.substring(_col(content_hash), 1, 14), F.lit("…"))), F.when(_col(partial), F.lit("partial")))
     return F.array_join(F.filter(F.concat(parts, tail), lambda x: x.isNotNull()), " ")
 

@@ -4,6 +4,7 @@ do not give the secret away, suppression, and groups."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 
@@ -44,6 +45,21 @@ def secret_matches(targets: DataFrame, key: str, rules: dict[str, tuple[str, int
     return found
 
 
+def budgeted(targets: DataFrame, key: str, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(targets to scan, status) under a budget of bytes for each record.
+
+    Targets are taken whole in order of their names as long as they fit with
+    those before them.  status: (key, status), `complete` or, if any was left
+    out, `partial`.  Time has no part in it: a scan is a plan, and a task that
+    fails is tried again.
+    """
+    size = F.octet_length("text").cast("long")
+    upto = F.sum(size).over(Window.partitionBy(key).orderBy("target").rowsBetween(Window.unboundedPreceding, 0))
+    fits = targets.withColumn("_fits", upto <= max_bytes)
+    status = fits.groupBy(key).agg(F.when(F.min("_fits"), "complete").otherwise("partial").alias("status"))
+    return fits.filter("_fits").drop("_fits"), status
+
+
 def fingerprinted(matches: DataFrame, secret: bytes) -> DataFrame:
     """Matches with a keyed fingerprint in place of the value."""
     return matches.withColumn("fingerprint", S.fingerprint(secret, F.concat_ws(":", "type", "value"))).drop("value")

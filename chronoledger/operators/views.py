@@ -24,7 +24,8 @@ def stream_order() -> list[Column]:
 
 def stream_lines(events: DataFrame) -> DataFrame:
     """(installation_id, producer_sequence, line): one line for each event."""
-    summary = S.payload_summary("event_type", "payload", "content_hash", "partial")
+    events = events.withColumn("_fields", S.payload_fields("payload"))
+    summary = S.payload_summary("event_type", "_fields", "content_hash", "partial")
     line = F.concat(
         F.lpad(F.col("producer_sequence").cast("string"), F.greatest(F.lit(6), F.char_length(F.col("producer_sequence").cast("string"))), F.lit(" ")), F.lit("  "), S.iso_utc("occurred_at"), F.lit("  "),
         _padded(F.coalesce("event_type", F.lit("?")), 26), F.lit("  "), _padded(F.coalesce(F.nullif("session_id", F.lit("")), F.lit("-")), 24), F.lit("  "), summary,
@@ -52,11 +53,10 @@ def event_counts(events: DataFrame) -> DataFrame:
 def task_attempts(events: DataFrame) -> DataFrame:
     """(board, task_id, run_id, first_seen, holder, outcome, disposition) of each
     attempt, claims and ends matched by run; `running` without an end."""
-    runs = events.filter("run_id is not null")
     key = ["board", "task_id", "run_id"]
-    seen = runs.groupBy(*key).agg(F.min(S.epoch_or_zero("occurred_at")).alias("first_seen"))
-    pick = lambda kind, name: runs.filter(F.col("event_type") == kind).groupBy(*key).agg(F.max_by(F.struct("holder", "run_outcome", "attempt_disposition"), F.struct(*stream_order())).alias(name))
-    both = pick("task.claimed", "claim").join(pick("task.attempt_ended", "end"), key, "full_outer").join(seen, key)
+    last = lambda kind: F.max_by(F.struct("holder", "run_outcome", "attempt_disposition"), F.when(F.col("event_type") == kind, F.struct(*stream_order())))
+    runs = events.filter("run_id is not null and board is not null and task_id is not null")
+    both = runs.groupBy(*key).agg(F.min(S.epoch_or_zero("occurred_at")).alias("first_seen"), last("task.claimed").alias("claim"), last("task.attempt_ended").alias("end")).filter("claim is not null or end is not null")
     done = F.col("end").isNotNull()
     return both.select(
         *key, "first_seen", F.coalesce(F.when(done, F.col("end.holder")).otherwise(F.col("claim.holder")), F.lit("?")).alias("holder"),
@@ -70,14 +70,17 @@ def task_board(events: DataFrame) -> DataFrame:
     holder, who holds it unless the claim's run has ended."""
     own = events.filter(F.col("event_type").isin(*TASK_EVENTS)).withColumn("board", F.coalesce(F.nullif("board", F.lit("")), F.lit("-"))).withColumn("task_id", F.coalesce(F.nullif("task_id", F.lit("")), F.lit("-")))
     order = F.struct(*stream_order())
-    status = F.max_by(F.coalesce(F.nullif("status", F.lit("")), F.lit("?")), F.when(F.col("event_type") != "task.attempt_ended", order))
-    holder = F.max_by(F.struct("holder", "run_id", "event_type", "claim_expires"), F.when(F.col("holder").isNotNull(), F.struct(S.epoch_or_zero("occurred_at").alias("t"), order.alias("o"))))
-    tasks = own.groupBy("board", "task_id").agg(F.coalesce(status, F.lit("?")).alias("status"), holder.alias("h"), F.count(F.when(F.col("event_type").isin(*TASK_TERMINALS), 1)).alias("terminals"))
-    ended = own.filter("event_type = 'task.attempt_ended' and run_id is not null").select("board", "task_id", F.col("run_id").alias("ended_run")).distinct()
-    same = (tasks["board"] == ended["board"]) & (tasks["task_id"] == ended["task_id"]) & (F.col("h.run_id") == F.col("ended_run"))
-    joined = tasks.join(ended, same, "left").select(tasks["board"], tasks["task_id"], "status", "h", "terminals", "ended_run")
-    held = (F.col("h.event_type") == "task.claimed") & F.col("ended_run").isNull()
-    return joined.select("board", "task_id", "status", F.col("h.holder").alias("holder"), F.when(F.col("h.holder").isNotNull(), held).alias("held"), F.when(F.col("h.holder").isNotNull(), F.col("h.claim_expires")).alias("claim_expires"), "terminals")
+    said = F.when(F.col("event_type") != "task.attempt_ended", order)
+    taken = F.when(F.col("holder").isNotNull(), F.struct(S.epoch_or_zero("occurred_at").alias("t"), order.alias("o")))
+    # By run first: whether a run has ended is known where its claim is.
+    runs = own.groupBy("board", "task_id", "run_id").agg(
+        F.max_by(F.coalesce(F.nullif("status", F.lit("")), F.lit("?")), said).alias("status"), F.max(said).alias("said"),
+        F.max_by(F.struct("holder", "event_type", "claim_expires"), taken).alias("h"), F.max(taken).alias("taken"),
+        (F.max(F.col("event_type") == "task.attempt_ended") & F.col("run_id").isNotNull()).alias("ended"), F.count(F.when(F.col("event_type").isin(*TASK_TERMINALS), 1)).alias("terminals"),
+    )
+    tasks = runs.groupBy("board", "task_id").agg(F.coalesce(F.max_by("status", "said"), F.lit("?")).alias("status"), F.max_by(F.struct("h.*", "ended"), "taken").alias("h"), F.sum("terminals").alias("terminals"))
+    held = (F.col("h.event_type") == "task.claimed") & ~F.col("h.ended")
+    return tasks.select("board", "task_id", "status", F.col("h.holder").alias("holder"), F.when(F.col("h.holder").isNotNull(), held).alias("held"), F.when(F.col("h.holder").isNotNull(), F.col("h.claim_expires")).alias("claim_expires"), "terminals")
 
 
 def terminal_detail(event_type: Column, kind: Column, block_kind: Column) -> Column:

@@ -209,11 +209,9 @@ def _board(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 def _board_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = mappers.board_records(*_board(spark, sf_dir))
-    get = lambda name: F.get_json_object("payload", f"$.{name}")
-    return r.select(
-        F.lit("i").alias("installation_id"), F.crc32(F.col("dedup_key").cast("binary")).alias("producer_sequence"), "occurred_at", "event_type", get("board").alias("board"), get("task_id").alias("task_id"), get("run_id").cast("long").alias("run_id"),
-        get("status").alias("status"), get("holder").alias("holder"), get("claim_expires").alias("claim_expires"), get("run_outcome").alias("run_outcome"), get("attempt_disposition").alias("attempt_disposition"),
-    )
+    fields = "board string, task_id string, run_id bigint, status string, holder string, claim_expires string, run_outcome string, attempt_disposition string"
+    parsed = r.select(F.lit("i").alias("installation_id"), F.crc32(F.col("dedup_key").cast("binary")).alias("producer_sequence"), "occurred_at", "event_type", F.from_json("payload", fields).alias("p"))
+    return parsed.select("installation_id", "producer_sequence", "occurred_at", "event_type", "p.*")
 
 
 def task_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

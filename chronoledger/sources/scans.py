@@ -84,6 +84,38 @@ def spool(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     return reader.format("text").load(path).select("value", F.col("_metadata.file_name").alias("file"))
 
 
+def tail_lines(files: DataFrame, cursors: DataFrame | None = None) -> DataFrame:
+    """New complete lines of files that grow: (file, generation, offset, until,
+    value), the offset in bytes being where a line starts.
+
+    files: (file, generation, content), a snapshot of each; a file is read whole,
+    so its writer bounds it by rotation.  cursors: (file, generation, offset) of
+    the last pass.  A cursor of another generation, or beyond the end (the file
+    was truncated), starts at 0.  A last line without a line feed is still being
+    written and waits.
+    """
+    known = files.withColumn("size", F.octet_length("content").cast("long"))
+    if cursors is not None:
+        last = cursors.select(F.col("file").alias("_f"), F.col("generation").alias("_g"), F.col("offset").alias("_o"))
+        known = known.join(last, (F.col("file") == F.col("_f")) & (F.col("generation") == F.col("_g")) & (F.col("_o") <= F.col("size")), "left")
+    else:
+        known = known.withColumn("_o", F.lit(0).cast("long"))
+    lines = known.select("file", "generation", F.coalesce("_o", F.lit(0)).alias("_from"), F.posexplode(F.split("content", "\n", -1)).alias("_i", "value"), F.size(F.split("content", "\n", -1)).alias("_n")).filter("_i < _n - 1")
+    upto = Window.partitionBy("file", "generation").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumn("until", F.sum(F.octet_length("value") + 1).over(upto).cast("long")).withColumn("offset", F.col("until") - F.octet_length("value") - 1)
+    return placed.filter(F.col("offset") >= F.col("_from")).select("file", "generation", "offset", "until", "value")
+
+
+def tail_cursors(files: DataFrame, lines: DataFrame, cursors: DataFrame | None = None) -> DataFrame:
+    """(file, generation, offset) for the next pass, after `lines` were taken."""
+    done = lines.groupBy("file", "generation").agg(F.max("until").alias("until"))
+    now = files.select("file", "generation", F.octet_length("content").cast("long").alias("size")).join(done, ["file", "generation"], "left")
+    if cursors is None:
+        return now.select("file", "generation", F.coalesce("until", F.lit(0)).cast("long").alias("offset"))
+    joined = now.join(cursors.withColumnRenamed("offset", "was"), ["file", "generation"], "left")
+    return joined.select("file", "generation", F.coalesce("until", F.when(F.col("was") <= F.col("size"), F.col("was")), F.lit(0)).cast("long").alias("offset"))
+
+
 def json_objects(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Rows of `lines` that are JSON objects, parsed by `schema` as `object`."""
     parsed = lines.withColumn("object", F.from_json(F.when(F.trim(column).startswith("{") & F.try_parse_json(column).isNotNull(), F.col(column)), schema))
@@ -119,6 +151,15 @@ def jobs(text: DataFrame, column: str = "value") -> DataFrame:
     return text.select(F.explode(items).alias("item")).select(F.from_json("item", schema).alias("job")).select("job.*").filter("id is not null")
 
 
+EXECUTION = {"id": ("string", None), "job_id": ("string", None), "status": ("string", None), "claimed_at": ("string", None), "finished_at": ("string", None)}
+
+
+def executions(df: DataFrame) -> DataFrame:
+    """A snapshot of runs with epoch seconds beside the times as they are (ISO
+    texts or numbers); columns that an older source lacks are null."""
+    return tolerant(df, EXECUTION).withColumn("claimed_epoch", S.to_epoch("claimed_at")).withColumn("finished_epoch", S.to_epoch("finished_at"))
+
+
 def active_jobs(df: DataFrame) -> DataFrame:
     """Jobs that are enabled, not paused, and have repeats left."""
     done = F.col("repeat.times").isNotNull() & (F.coalesce(F.col("repeat.completed"), F.lit(0)) >= F.col("repeat.times"))

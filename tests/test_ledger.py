@@ -5,10 +5,11 @@ import hmac
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronoledger.functions import scalars as S
-from chronoledger.operators import ledger as book, retention, security, store, tree, usage, views
+from chronoledger.operators import ledger as book, retention, security, shipping, store, tree, usage, views
 from chronoledger.operators.mappers import content_chunks, reassembled
 from chronoledger.sources import scans
 
@@ -122,6 +123,110 @@ def test_folds_of_edits():
     assert store.fold_memory([], [{"action": "add", "content": "  "}]) is None
 
 
+def test_after_states_of_memories_and_bad_arguments(spark):
+    """By hand: unknown until a result counts the entries, and after what cannot be told."""
+    calls = [
+        ("m1", "memory", "add", '{"content": "one"}', None, None), ("m1", "memory", "add", '{"content": "two"}', '{"entry_count": 1}', "two"), ("m1", "memory", "add", '{"content": "twos"}', None, "two\n§\ntwos"),
+        ("m1", "memory", "remove", '{"old_text": "two"}', None, None), ("m1", "memory", "add", '{"content": "three"}', None, None), ("m1", "memory", "add", '{"content": "four"}', '{"entry_count": 3}', None),
+        ("m1", "memory", "add", "{broken", '{"entry_count": 1}', None), ("m1", "memory", "add", "[1]", "[2]", None), ("m1", "memory", "add", '{"operations": [7]}', None, None), ("m1", "memory", "add", '{"operations": [{"action": "add", "content": "x"}, {"action": "add", "content": "y"}]}', '{"entry_count": 2}', "x\n§\ny"),
+        ("s1", "skill", "patch", '{"old_string": "a", "new_string": "b"}', None, None), ("s1", "skill", "create", '{"content": "a"}', None, "a"), ("s1", "skill", "edit", "{broken", None, None), ("s1", "skill", "edit", '{"content": "c"}', None, None), ("s1", "skill", "create", '{"content": "d"}', None, "d"),
+    ]
+    df = spark.createDataFrame([(a, k, "memory" if k == "memory" else "n", i, action, args, result) for i, (a, k, action, args, result, _) in enumerate(calls)], "artifact_id string, kind string, name string, at long, action string, arguments string, result string")
+    got = {r.at: r.files for r in store.after_states(df).collect()}
+    file = {"m1": "MEMORY.md", "s1": "SKILL.md"}
+    assert {i: None if f is None else json.loads(f)[file[calls[i][0]]] for i, f in got.items()} == {i: c[-1] for i, c in enumerate(calls)}
+
+
+def test_limits_of_an_artifact_with_very_many_files(spark):
+    df = spark.range(5000).select(F.lit("a").alias("artifact_id"), F.lpad(F.col("id").cast("string"), 6, "0").alias("path"), (F.col("id") % 7).alias("size"))
+    got = store.limit_files(df, 10, 5, 18).collect()
+    state = {r.path: r.skipped for r in got}
+    assert len(state) == 5000 and sum(v == "max_file_count" for v in state.values()) == 4990
+    used, want = 0, {}
+    for i in range(10):
+        size = i % 7
+        want[f"{i:06}"] = "max_file_bytes" if size > 5 else "max_artifact_bytes" if used + size > 18 else None
+        used += size if want[f"{i:06}"] is None else 0
+    assert {p: state[p] for p in want} == want
+
+
+def test_deep_trees_and_circles_roll_up(spark):
+    """A chain of 300, a bush, two circles with what hangs on them, and a missing parent."""
+    up = {i: i - 1 for i in range(2, 301)} | {1: None} | {1000 + i: 1000 + i // 3 for i in range(1, 90)} | {1000: None}
+    up |= {2001: 2002, 2002: 2003, 2003: 2001, 2004: 2001, 2005: 2004, 3001: 3001, 3002: 3001, 4001: 9999, 4002: 4001}
+    below = {n: set() for n in up}
+    for n in up:
+        at, seen = n, set()
+        while at in up and at not in seen:
+            seen.add(at)
+            below[at].add(n)
+            at = up[at]
+    nodes = spark.createDataFrame(list(up.items()), "id long, parent long")
+    own = spark.createDataFrame([(n, n % 11) for n in up if n % 4], "id long, v long")
+    got = {r.id: (r.v, r.nodes) for r in tree.subtree_totals(nodes, own, ["v"]).collect()}
+    assert got == {n: (sum(x % 11 for x in b if x % 4), len(b)) for n, b in below.items()}
+    roots = {r.id: r.root for r in tree.roots(nodes).collect()}
+    assert len(roots) == len(up) and roots[300] == 1 and roots[1080] == 1000 and roots[4002] == 9999 and roots[2001] == 2003 and roots[3002] == 3001
+
+
+def test_shipping_goes_on_where_it_stopped(spark):
+    records = spark.createDataFrame([(i, n, 10 * (n % 4) + 1) for i in ("a", "b") for n in range(1, 31)], "installation_id string, producer_sequence long, bytes long")
+    high = records.groupBy("installation_id").agg(F.max("producer_sequence").alias("high"))
+    cursors = spark.createDataFrame([], "installation_id string, cursor long")
+    sent, fail = [], {"b"}
+
+    def send(rows):
+        name, last = rows[0]["installation_id"], rows[-1]["producer_sequence"]
+        if name in fail and last > 7:
+            raise OSError("no route")
+        sent.append((name, [r["producer_sequence"] for r in rows]))
+        return {"accepted": len(rows), "duplicates": 0, "high_water": last}
+
+    told = {}
+    for turn in range(4):
+        cursors, out = shipping.ship_pass(spark, records, cursors, high, send, max_batches=2, max_records=5)
+        told[turn] = {r.installation_id: (r.outcome, r.acked, r.cursor, r.pending) for r in out.collect()}
+        cursors = spark.createDataFrame(cursors.collect(), "installation_id string, cursor long")
+        if turn == 1:
+            fail.clear()
+    assert told[0] == {"a": ("done", 10, 10, 20), "b": ("no acknowledgement", 5, 5, 25)}
+    assert told[1]["b"] == ("no acknowledgement", 0, 5, 25) and told[2]["a"][2] == 30 and told[3]["a"] == ("idle", 0, 30, 0)
+    assert [n for name, rows in sent if name == "a" for n in rows] == list(range(1, 31))
+    assert [n for name, rows in sent if name == "b" for n in rows] == list(range(1, 26))
+
+
+def test_retries_wait_longer_and_end():
+    waits, calls = [], []
+
+    def send(rows):
+        calls.append(rows)
+        raise shipping.Retryable("busy")
+
+    with pytest.raises(shipping.Retryable):
+        shipping.Retrying(send, attempts=5, sleep=waits.append, draw=lambda: 1.0)([])
+    assert waits == [0.5, 1.0, 2.0, 4.0] and len(calls) == 5
+    with pytest.raises(ValueError):
+        shipping.Retrying(lambda rows: (_ for _ in ()).throw(ValueError("bad")), sleep=waits.append)([])
+    assert len(waits) == 4
+
+
+def test_batches_of_a_long_backlog(spark):
+    """100 000 records of one installation, the first batches and all of them."""
+    df = spark.range(1, 100_001).select(F.lit("i").alias("installation_id"), F.col("id").alias("producer_sequence"), (F.col("id") % 90 + 1).alias("bytes"))
+    want, n, used, batch = {}, 0, 0, 0
+    for i in range(1, 100_001):
+        size = i % 90 + 1
+        if n and (n >= 40 or used + size + 1 > 1500):
+            batch, n = batch + 1, 0
+        used = 10 + size if n == 0 else used + size + 1
+        n += 1
+        want[i] = batch
+    whole = {r.producer_sequence: r.batch for r in retention.ship_batches(df, 40, 1500, 10).collect()}
+    assert whole == want
+    few = {r.producer_sequence: r.batch for r in retention.ship_batches(df, 40, 1500, 10, max_batches=3).collect()}
+    assert few == {i: b for i, b in want.items() if b < 3}
+
+
 def test_usage_deltas(spark):
     rows = [("s", 1.0, 5.0), ("s", 1.0, 5.0), ("s", 2.0, 9.0), ("s", 3.0, 2.0), ("s", 4.0, None)]
     got = usage.deltas(spark.createDataFrame(rows, "k string, last_seen double, n double"), ["k"], "last_seen", ["n"]).orderBy("last_seen").collect()
