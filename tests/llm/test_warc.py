@@ -1,5 +1,9 @@
 import base64
+import gzip
 import hashlib
+import time
+
+import pytest
 
 from chronoledger.llm import warc
 
@@ -53,3 +57,60 @@ def test_tables_with_nulls_repeats_and_clashes(spark):
     assert texts[4] == "no tags" and texts[5] == "" and texts[2] == ""
     assert next(r for r in got if r.page_id == 2).target_uri is None
     assert warc.derivatives(df.limit(0)).count() == 0
+
+
+HEADERS = [("Content-Type", "text/html; charset=latin-1"), ("X-A", "1"), ("X-A", "2")]
+
+
+def test_responses_keep_their_own_columns(spark):
+    kind = "page_id long, url string, html string, at string, line string, head array<struct<name:string,value:string>>, rid string, sum string"
+    rows = [(1, "http://x/", PAGE, "2023-05-06T07:08:09Z", "HTTP/1.1 404 Not Found", HEADERS, "<urn:uuid:1>", "sha1:ABC"), (2, "http://y/", PAGE, None, None, None, None, None)]
+    got = warc.derivatives(spark.createDataFrame(rows, kind), dates="at", status="line", headers="head", record="rid", digests="sum").collect()
+    own = [r for r in got if r.page_id == 1]
+    assert {r.refers_to for r in own} == {"<urn:uuid:1>"} and {r.source_payload_digest for r in own} == {"sha1:ABC"}
+    assert all("WARC-Date: 2023-05-06T07:08:09Z" in r.header for r in own)
+    facts = next(bytes(r.block).decode() for r in own if r.warc_type == "metadata").split("\r\n")
+    assert {"source-status: HTTP/1.1 404 Not Found", "source-header-x-a: 1", "source-header-x-a: 2", "source-payload-digest: sha1:ABC"} <= set(facts)
+    plain = {r.record_id for r in got if r.page_id == 2}
+    assert plain == {r.record_id for r in warc.derivatives(spark.createDataFrame([r[:3] for r in rows[1:]], "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_files_are_read_and_derived(spark, tmp_path, packed):
+    sources = [warc.response(f"http://x/{i}", PAGE * i, "2024-01-01T00:00:00Z", HEADERS) for i in range(40)]
+    info = warc.Record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<i>"), ("Content-Length", "4")], b"\r\n\r\n")
+    for n in (0, 1):
+        records = [info, *sources[n::2]]
+        data = b"".join(gzip.compress(r.encode()) if packed else r.encode() for r in records)
+        (tmp_path / f"{n}.warc").write_bytes(data)
+    records = warc.read_warc(spark, str(tmp_path))
+    assert records.count() == 42
+    got = warc.derive_records(records).collect()
+    assert len(got) == 80
+    for s in sources:
+        want = {r["WARC-Record-ID"]: r for r in warc.derive(s)}
+        mine = [r for r in got if r.source_id == s["WARC-Record-ID"]]
+        assert {r.record_id for r in mine} == set(want)
+        for r in mine:
+            assert bytes(r.block) == want[r.record_id].block and r.refers_to == s["WARC-Record-ID"] and r.source_payload_digest == s["WARC-Payload-Digest"]
+
+
+def test_damaged_files_are_refused():
+    whole = warc.response("u", PAGE, "2024-01-01T00:00:00Z").encode()
+    for bad in (whole[:-60], b"no record" + whole, gzip.compress(whole)[:-9]):
+        with pytest.raises(ValueError):
+            list(warc.read_records(bad))
+    assert list(warc.read_records(b"")) == []
+
+
+@pytest.mark.parametrize("unit", ["<svg>", "<p ", "<a ", "<a <", "<title>", "<html ", "<!-- ", "<script>", "</script "])
+def test_hostile_pages_take_linear_time(unit):
+    began = time.perf_counter()
+    warc.derive(warc.response("u", unit * 100_000, "2024-01-01T00:00:00Z"))
+    assert time.perf_counter() - began < 5
+
+
+def test_what_is_not_shown():
+    assert warc.plain_text("a<svg>b<p>c</svg>d<noscript>e") == "a de"
+    assert warc.plain_text("a<script>b") == "a" and warc.plain_text("a<!-- b --> c <!-- d") == "a c"
+    assert warc.plain_text("1 < 2 <b") == "1 < 2 <b" and warc.title_of("<title>x") is None
