@@ -6,6 +6,10 @@ third, and so on until no key is wrong.  Over the key universe the cascade was
 built on (every key of every url of the corpus) membership is then exact, and a
 url is judged by its own row and the filters: no join with the rules.
 
+Lists too long for one cascade of bounded size are dealt by a hash of the key
+into several, each exact over its share of the keys; a url's keys are then asked
+cascade by cascade.
+
 A rule is a host and the start of a path; it fits the host and its subdomains.
 The keys of a url are the suffixes of its host joined with the starts of its
 path, of the lengths that rules have.
@@ -17,23 +21,26 @@ import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
 
-from .common import Stage, lower_ascii, with_fields
+from .common import Stage, lower_ascii
 
-#: The filters of a cascade are broadcast and may have so many bytes together;
-#: longer lists are joined with the keys instead.
-MAX_BYTES = 64 << 20
+#: The first filter of a cascade has at most so many bytes; the later ones hold
+#: half of the keys before them at most, so a broadcast has about twice that.
+MAX_BYTES = 32 << 20
 
-#: Share of keys outside that pass a filter after the first.
-LATER_RATE = 0.5
+#: Bytes of a filter that travel in one row.
+CHUNK = 1 << 16
 
+#: Cascades that one pass over the pages asks, each in a worker of its own.
+TOGETHER = 4
 
-class TooLarge(ValueError):
-    """The filters of a cascade would be too large to broadcast."""
+#: Share of keys outside that pass a filter after the first.
+LATER_RATE = 0.5
 
 
 @dataclass(frozen=True)
@@ -109,51 +116,75 @@ class Cascade:
         return len(self.levels) % 2 == 1
 
 
-def _bloom(keys: DataFrame, count: int, rate: float, seed: int, room: int) -> Bloom:
-    """A filter of the `count` rows of `keys` (key), its bits set on the executors."""
-    hashes = max(1, round(-math.log2(rate)))
-    size = max(1, math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 8))
-    if size > room:
-        raise TooLarge(f"the filters would take more than {MAX_BYTES} bytes")
+def _bytes_for(count: int, rate: float) -> int:
+    return max(1, math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 8))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bloom(keys: DataFrame, count: int, rate: float, seed: int) -> Bloom:
+    """A filter of the `count` rows of `keys` (key): tasks set bits in a filter of
+    their own, and what they set is united chunk by chunk on the executors."""
+    hashes, size = max(1, round(-math.log2(rate))), _bytes_for(count, rate)
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, np.uint8)
         for batch in batches:
-            masks: dict[int, int] = {}
-            for key in batch.column("key").to_pylist():
-                for p in places(key, seed, hashes, 8 * size):
-                    masks[p >> 3] = masks.get(p >> 3, 0) | 1 << (p & 7)
-            yield pa.RecordBatch.from_arrays([pa.array(list(masks), pa.int64()), pa.array(list(masks.values()), pa.int32())], names=["byte", "mask"])
+            at = [p for key in batch.column("key").to_pylist() for p in places(key, seed, hashes, 8 * size)]
+            where = np.array(at, np.int64)
+            np.bitwise_or.at(bits, where >> 3, (1 << (where & 7)).astype(np.uint8))
+        for n in range(0, size, CHUNK):
+            part = bits[n : n + CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([n // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "bits"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for n, raw in zip(batch.column("chunk").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                part = np.frombuffer(raw, np.uint8)
+                whole[n] = whole[n] | part if n in whole else part
+        for n, part in whole.items():
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "bits"])
 
     bits = bytearray(size)
-    # At most a row for each byte of the filter, whose size was checked above.
-    for row in keys.mapInArrow(run, "byte long, mask int").groupBy("byte").agg(F.bit_or("mask").alias("mask")).collect():
-        bits[row["byte"]] = row["mask"]
+    # A row for each chunk of the filter, whose size is bounded.
+    for row in keys.mapInArrow(set_bits, "chunk int, bits binary").repartition("chunk").mapInArrow(unite, "chunk int, bits binary").collect():
+        bits[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(row["bits"])] = row["bits"]
     return Bloom(bytes(bits), hashes, seed)
 
 
-def build(listed: DataFrame, universe: DataFrame) -> Cascade:
+def _rate(count: int, others: int) -> float:
+    """The first filter's share of false positives, by the sizes of both sides."""
+    return min(LATER_RATE, max(1e-9, math.sqrt(0.5) * count / max(1, others)))
+
+
+def build(listed: DataFrame, universe: DataFrame, stage: Stage) -> Cascade:
     """The cascade of the distinct keys `listed` that is exact over `universe`
     and `listed` (both: key).  Only keys that pass a filter are shuffled."""
-    listed = listed.distinct().cache()
+    listed = stage.write(listed.distinct())
     count = listed.count()
     if not count:
+        stage.drop(listed)
         return Cascade(())
     others = universe.agg(F.approx_count_distinct("key")).first()[0]  # for the first filter's size only
-    rate = min(LATER_RATE, max(1e-9, math.sqrt(0.5) * count / max(1, others)))
-    levels = [_bloom(listed, count, rate, 0, MAX_BYTES)]
-    inside, outside = listed, None
+    levels = [_bloom(listed, count, _rate(count, others), 0)]
+    inside, outside, spark = listed, None, listed.sparkSession
     while True:
-        level, spark = levels[-1], listed.sparkSession
+        level = levels[-1]
         if len(levels) == 1:
-            wrong = _passing(universe, level, spark).distinct().join(listed, "key", "left_anti").cache()
-            outside = wrong
+            wrong = outside = stage.write(_passing(universe, level, spark).distinct().join(listed, "key", "left_anti"))
+        elif len(levels) % 2 == 0:
+            wrong = stage.write(_passing(inside, level, spark))
+            stage.drop(inside)
+            inside = wrong
         else:
-            wrong = _passing(inside if len(levels) % 2 == 0 else outside, level, spark).cache()
-            inside, outside = (wrong, outside) if len(levels) % 2 == 0 else (inside, wrong)
+            wrong = stage.write(_passing(outside, level, spark))
+            stage.drop(outside)
+            outside = wrong
         left = wrong.count()
         if not left:
+            stage.drop(inside, outside)
             return Cascade(tuple(levels))
-        levels.append(_bloom(wrong, left, LATER_RATE, len(levels), MAX_BYTES - sum(len(x.bits) for x in levels)))
+        levels.append(_bloom(wrong, left, LATER_RATE, len(levels)))
 
 
 def _passing(keys: DataFrame, level: Bloom, spark: SparkSession) -> DataFrame:
@@ -167,16 +198,44 @@ def _passing(keys: DataFrame, level: Bloom, spark: SparkSession) -> DataFrame:
     return keys.mapInArrow(run, "key string")
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
+def _share(key: str, shares: int) -> int:
+    return xxhash.xxh64_intdigest(key, 0xC0FFEE) % shares
+
+
+def _own(keys: DataFrame, share: int, shares: int) -> DataFrame:
+    """The keys that fall into one of several shares."""
+    if shares == 1:
+        return keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_share(k, shares) == share for k in batch.column("key").to_pylist()], pa.bool_()))
+
+    return keys.mapInArrow(run, "key string")
+
+
+def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """(action, host, path) of rules given as a list."""
+    return spark.createDataFrame([(r.action, r.host, r.path) for r in rules], "action string, host string, path string")
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
     """Every row of `pages` with its host, path, rule and verdict.
 
     The longest rule that fits decides; a url that no rule fits is in no list,
     so its verdict is `default`.  If one rule is both allowed and blocked, block
     holds.  A null url, or one without `://`, has an empty host and path and no
     rule.  Returns page_id, host, path, rule, verdict.
+
+    rules: a list, or a table of any length (action, host, path).
     """
     spark = pages.sparkSession
-    lengths, labels = sorted({len(r.path) for r in rules}), max((r.host.count(".") + 1 for r in rules), default=0)
+    stage = Stage(spark, "url-cascade")
+    table = rules if isinstance(rules, DataFrame) else rule_table(spark, rules)
+    known = stage.write(table.select(F.concat("host", "path").alias("key"), (F.col("action") == "block").alias("bad"), F.length("path").alias("n"), F.size(F.split("host", r"\.", -1)).alias("labels")))
+    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())  # path lengths: as many as a path has characters
+    labels = known.agg(F.coalesce(F.max("labels"), F.lit(0))).first()[0]
+    every, blocked = known.select("key"), known.filter("bad").select("key")
     parsed = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
 
     def every_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,38 +244,37 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["key"])
 
     universe = parsed.select("host", "path").mapInArrow(every_key, "key string")
-    as_frame = lambda keys: spark.createDataFrame([(k,) for k in sorted(keys)], "key string")
-    every, blocked = {r.key for r in rules}, {r.key for r in rules if r.action == "block"}
-    try:
-        listed = build(as_frame(every), universe)
-        barred = build(as_frame(blocked), as_frame(every))
-    except TooLarge:
-        return _judged_by_join(parsed, as_frame(every), as_frame(blocked), lengths, labels, default)
-    shared = spark.sparkContext.broadcast((listed, barred))
-
+    count = every.distinct().count()
+    shares = max(1, -(-_bytes_for(count, 1e-9) // MAX_BYTES))
+    judged = parsed.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+    for share in range(shares):
+        own = _own(every, share, shares)
+        listed = build(own, _own(universe, share, shares), stage)
+        barred = build(_own(blocked, share, shares), own, stage)
+        judged = _asked(judged, spark.sparkContext.broadcast((listed, barred)), share, shares, lengths, labels)
+        if share % TOGETHER == TOGETHER - 1 and share + 1 < shares:
+            judged = stage.write(judged)
+    stage.drop(known)
+    return judged
+
+
+def _asked(pages: DataFrame, shared: Broadcast, share: int, shares: int, lengths: Sequence[int], labels: int) -> DataFrame:
+    """`pages` with the rule and verdict of one share's cascades where they have a
+    longer rule than the shares before them (of equal length: with a longer host)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, bad = shared.value
         for batch in batches:
-            rule = [next((k for k in keys_of(h, p, lengths, labels) if k in inside), None) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            verdict = [default if k is None else "block" if k in bad else "allow" for k in rule]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[*batch.schema.names, "rule", "verdict"])
-
-    return parsed.mapInArrow(run, with_fields(parsed.schema, ("rule", StringType()), ("verdict", StringType())))
-
-
-def _judged_by_join(parsed: DataFrame, every: DataFrame, blocked: DataFrame, lengths: Sequence[int], labels: int, default: str) -> DataFrame:
-    """The same verdicts where the filters would be too large: keys are joined
-    with the rules, and the first that fits is kept for each row."""
-    rows = Stage(parsed.sparkSession, "url-join").write(parsed.withColumn("_row", F.monotonically_increasing_id()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            found = [(r, i, k) for r, h, p in zip(batch.column("_row").to_pylist(), hosts, paths, strict=True) for i, k in enumerate(keys_of(h, p, lengths, labels))]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["_row", "_rank", "key"])
-
-    rules = every.join(blocked.withColumn("_bad", F.lit(True)), "key", "left")
-    keys = rows.select("_row", "host", "path").mapInArrow(run, "_row long, _rank int, key string")
-    best = keys.join(rules, "key").groupBy("_row").agg(F.min(F.struct("_rank", "key", "_bad")).alias("_hit"))
-    verdict = F.when(F.col("_hit").isNull(), F.lit(default)).when(F.col("_hit._bad"), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(best, "_row", "left").select("page_id", "host", "path", F.col("_hit.key").alias("rule"), verdict.alias("verdict"))
+            rules, verdicts = [], []
+            rows = zip(*[batch.column(c).to_pylist() for c in ("host", "path", "rule", "verdict")], strict=True)
+            for host, path, rule, verdict in rows:
+                for k in keys_of(host, path, lengths, labels):
+                    if k == rule:
+                        break  # what follows is not longer
+                    if _share(k, shares) == share and k in inside:
+                        rule, verdict = k, "block" if k in bad else "allow"
+                        break
+                rules.append(rule)
+                verdicts.append(verdict)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], names=batch.schema.names)
+
+    return pages.mapInArrow(run, pages.schema)

@@ -3,6 +3,7 @@ import re
 import pytest
 
 from chronoledger.llm import url_cascade as U
+from chronoledger.llm.common import Stage
 
 RULES = U.parse_rules(["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/", "block deep.a.b.org"])
 URLS = [
@@ -26,10 +27,12 @@ def test_verdicts_are_those_of_brute_force(spark):
     assert got == {i: brute(u) for i, u in enumerate(URLS + URLS[:7])}
 
 
-def test_long_lists_are_joined_to_the_same_verdicts(spark, monkeypatch):
-    monkeypatch.setattr(U, "MAX_BYTES", 0)
+def test_long_lists_take_several_cascades(spark, monkeypatch):
+    monkeypatch.setattr(U, "MAX_BYTES", 8)
+    monkeypatch.setattr(U, "TOGETHER", 2)
     df = spark.createDataFrame([(i % 9, u) for i, u in enumerate(URLS + URLS[:7])], "page_id long, url string")
-    got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in U.judge_urls(df, RULES).collect())
+    rules = U.rule_table(spark, RULES)
+    got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in U.judge_urls(df, rules).collect())
     want = [(i % 9, *brute(u)) for i, u in enumerate(URLS + URLS[:7])]
     assert got == sorted((i, h, p, k or "", v) for i, h, p, k, v in want)
 
@@ -38,7 +41,7 @@ def test_cascade_is_exact_over_its_universe(spark):
     every = [f"key{i}" for i in range(3000)]
     listed = set(every[::7])
     frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
-    cascade = U.build(frame(sorted(listed) * 2), frame(every + every[:50]))
+    cascade = U.build(frame(sorted(listed) * 2), frame(every + every[:50]), Stage(spark, "test"))
     assert len(cascade.levels) > 1
     assert all((k in cascade) == (k in listed) for k in every)
 
@@ -49,10 +52,13 @@ def test_empty_lists_and_tables(spark):
     assert U.judge_urls(df.limit(0), RULES).count() == 0
 
 
-def test_bad_rules_and_sizes(spark, monkeypatch):
+def test_bad_rules():
     with pytest.raises(ValueError):
         U.parse_rules(["maybe com/"])
-    monkeypatch.setattr(U, "MAX_BYTES", 1)
-    keys = spark.createDataFrame([(f"k{i}",) for i in range(100)], "key string")
-    with pytest.raises(ValueError):
-        U.build(keys, keys)
+
+
+def test_filters_of_several_chunks_have_every_key(spark, monkeypatch):
+    monkeypatch.setattr(U, "CHUNK", 16)
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(500)], "key string").repartition(3)
+    bloom = U._bloom(keys, 500, 0.01, 3)
+    assert all(f"k{i}" in bloom for i in range(500)) and sum(f"x{i}" in bloom for i in range(1000)) < 60
