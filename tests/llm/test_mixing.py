@@ -61,6 +61,34 @@ def test_mixture_of_a_table(spark, tmp_path):
             assert b * 8 // w <= slot < -(-(b + 1) * 8 // w)
 
 
+def scheduled(weights, blocks):
+    """(source, block) of each slot, slot by slot: of the blocks that are released
+    the one due first.  When a source ends the others begin anew."""
+    done, out = dict.fromkeys(weights, 0), []
+    while any(done[s] < blocks.get(s, 0) for s in weights):
+        live = [s for s in weights if done[s] < blocks.get(s, 0)]
+        total, since, t = sum(weights[s] for s in live), dict.fromkeys(live, 0), 0
+        while all(done[s] < blocks[s] for s in live):
+            ready = [s for s in live if since[s] * total // weights[s] <= t]
+            s = min(ready, key=lambda s: (-(-(since[s] + 1) * total // weights[s]), live.index(s)))
+            out.append((s, done[s]))
+            done[s] += 1
+            since[s] += 1
+            t += 1
+    return out
+
+
+def test_slots_are_those_of_a_slot_by_slot_schedule(spark, tmp_path):
+    rows = corpus(240, seed=8)
+    weights = {"src0": 5, "src1": 3, "src2": 1}
+    got = mixing.mix(table(frame(spark, rows), tmp_path), weights, 700, other=2).collect()
+    size = Counter()
+    for _, t, s in rows:
+        size[s if s in weights else mixing.OTHER] += len((t or "").encode()) + 1
+    want = {place: slot for slot, place in enumerate(scheduled({**weights, mixing.OTHER: 2}, {s: -(-b // 700) for s, b in size.items()}))}
+    assert len(got) == len(rows) and all(want[r.source, r.block] == r.slot for r in got)
+
+
 def test_order_keeps_rows_and_columns(spark, tmp_path):
     rows = corpus()
     docs = table(clashing(spark, rows), tmp_path)

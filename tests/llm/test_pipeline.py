@@ -8,7 +8,7 @@ import tiktoken
 import corpus_pipeline
 from chronoledger.llm import bpe, mixing
 
-from .fixtures import corpus, frame, table
+from .fixtures import clashing, corpus, frame, table
 from .test_jaccard_join import brute, mutated
 from .test_quality_rules import counts, good
 
@@ -49,6 +49,23 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
             assert out.columns == docs.columns
 
 
+def test_stages_take_nulls_repeats_clashes_and_long_texts(spark, tmp_path):
+    """Null keys and sources, repeated rows, one row of a million characters, and
+    columns that stages use inside."""
+    long = " ".join(f"word{''.join(chr(97 + int(c)) for c in str(i))} follows." for i in range(60_000))
+    rows = corpus(60) + [(None, good(), None), (None, good(), None), (1, good(90), "src1"), (1, good(90), "src1"), (8000, long, "src2"), (8001, None, None)]
+    docs = table(clashing(spark, rows), tmp_path)
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = table(step(spark, docs, str(tmp_path)), tmp_path, name)
+        assert docs.columns == clashing(spark, rows[:1]).columns
+    left = [r.doc_id for r in docs.collect()]
+    assert left.count(1) == 1 and left.count(8000) == 1 and left.count(None) == 1 and 8001 not in left
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1) for r in out) == sorted((x or -1) for x in left)
+    long_row = next(r for r in out if r.doc_id == 8000)
+    assert long_row.decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_mixture_survives_the_reread(spark, tmp_path, monkeypatch):
     weights = {"src0": 3, "src1": 1}
     monkeypatch.setattr(corpus_pipeline, "MIX_WEIGHTS", weights)

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -34,6 +35,67 @@ def test_running_sums(spark):
     assert got == [[sum(x[: i + 1]) for i in range(len(x))] for x in rows]
 
 
+def two_sided(z):
+    x = min(abs(z), 8.0)
+    return max(1e-15, 2 / (1 + math.exp(1.5976 * x + 0.07056 * x**3)))
+
+
+def statistic(value, alphabet):
+    """The three tests, each by its definition."""
+    idx, k, n = [alphabet.index(c) for c in value], len(alphabet), len(value)
+    chi = sum((idx.count(j) - n / k) ** 2 / (n / k) for j in range(k))
+    z_chi = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    high = [2 * j >= k for j in idx]
+    a, b = sum(high), n - sum(high)
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+    z_runs = 8.0 if 2 * a * b <= n else (runs - 1 - 2 * a * b / n) / math.sqrt(2 * a * b * (2 * a * b - n) / (n * n * (n - 1)))
+    mean = sum(idx) / n
+    spread = sum((x - mean) ** 2 for x in idx)
+    lag = sum((x - mean) * (y - mean) for x, y in zip(idx, idx[1:]))
+    z_lag = 8.0 if spread < 1e-9 else (lag / spread + 1 / n) * math.sqrt(n)
+    return -2 * sum(math.log(two_sided(z)) for z in (z_chi, z_runs, z_lag))
+
+
+def test_battery_is_that_of_the_definitions(spark):
+    rng = random.Random(6)
+    alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    values = ["".join(rng.choice(alphabet[: rng.choice([2, 9, 62])]) for _ in range(rng.randrange(16, 90))) for _ in range(80)] + ["0" * 20, "0Z" * 12, alphabet]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v string, i int")
+    got = [r[0] for r in df.orderBy("i").select(X.battery(F.col("v"), F.lit(alphabet))).collect()]
+    assert all(math.isclose(g, statistic(v, alphabet), rel_tol=1e-6, abs_tol=1e-6) for g, v in zip(got, values, strict=True))
+
+
+def plain_cutoffs(counts, share):
+    """Each candidate on its own, sorted by p."""
+    each = [(r.band, r.step) for r in counts if not r.decoy for _ in range(r.n)]
+    decoys = [(r.band, r.step) for r in counts if r.decoy for _ in range(r.n)]
+    p = []
+    for band, step in each:
+        near = [s for b, s in decoys if b <= band]
+        p.append(((1 + sum(s <= step for s in near)) / (1 + len(near)), band, step))
+    p.sort()
+    last = max((i for i, x in enumerate(p) if x[0] <= share * (i + 1) / len(p)), default=-1)
+    found, level = {}, p[last][0] if last >= 0 else -1.0
+    for value, band, step in p:
+        if value <= level and any(b <= band for b, _ in decoys):
+            found[band] = max(found.get(band, -1), step)
+    return found
+
+
+def test_step_up_is_that_of_sorted_p_values():
+    rng = random.Random(7)
+    for _ in range(60):
+        counts = {}
+        for _ in range(rng.randrange(1, 120)):
+            decoy = rng.random() < 0.7
+            step = rng.randrange(60, X.STEPS) if decoy else rng.choice([rng.randrange(0, 60), rng.randrange(0, X.STEPS)])
+            key = (rng.randrange(len(X.BANDS)), step, decoy)
+            counts[key] = counts.get(key, 0) + rng.randrange(1, 4)
+        rows = [Row(band=b, step=s, decoy=d, n=n) for (b, s, d), n in counts.items()]
+        if any(not r.decoy for r in rows):
+            assert X.cutoffs(rows) == plain_cutoffs(rows, X.FALSE_SHARE)
+
+
 def test_battery_tells_random_from_words(spark):
     rng = random.Random(3)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]

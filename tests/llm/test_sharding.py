@@ -1,7 +1,9 @@
+import math
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from chronoledger.llm import sharding
@@ -9,6 +11,26 @@ from chronoledger.llm import sharding
 from .fixtures import clashing, corpus, frame, table
 
 
+def hash_of(key, shard):
+    """XXH64 of the key's bytes, and of the shard as 4 bytes with that as its seed."""
+    seed = xxhash.xxh64_intdigest(key.encode(), 42)
+    return xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), seed)
+
+
+def shard_of(key, weights):
+    text = "null" if key is None else f"k{key}"
+    score = lambda s: weights[s] / -math.log(((hash_of(text, s) >> 11) + 0.5) / 2**53)
+    return max(sorted(weights), key=score)
+
+
+@pytest.mark.parametrize("weights", [dict.fromkeys(range(16), 1.0), {0: 1.0, 3: 2.5, 7: 0.2}])
+def test_shards_are_those_of_a_recomputation(spark, weights):
+    keys = [None, *range(-5, 3000), 2**62]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").coalesce(1)
+    got = {r.k: r.s for r in df.select("k", sharding.rendezvous(F.col("k"), weights).alias("s")).collect()}
+    assert got == {k: shard_of(k, weights) for k in keys}
+
+
 def test_growth_moves_rows_into_the_new_shard_only(spark):
     rows = spark.range(20_000).select(sharding.rendezvous(F.col("id"), dict.fromkeys(range(16), 1.0)).alias("a"), sharding.rendezvous(F.col("id"), dict.fromkeys(range(17), 1.0)).alias("b")).collect()
     moved = [r for r in rows if r.a != r.b]
