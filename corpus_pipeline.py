@@ -3,7 +3,8 @@ mixing to target weights, and tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs.  All but the last return the
-columns of documents.
+columns of documents, whatever other columns a table has and whatever their names.
+An empty table stays empty.  Rows with a null key are documents like others.
 """
 
 from __future__ import annotations
@@ -18,30 +19,38 @@ from chronoledger.llm.queries import MIX_BLOCK_BYTES, MIX_OTHER, MIX_WEIGHTS
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects.  A null or empty text has too few
+    words; repeated rows and equal texts are judged alike."""
     return quality_rules.keep_good(docs)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts (A to Z lower-cased; null as empty), the document with the
+    largest id; a null id is the smallest.  Of rows that repeat one id and text
+    one stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, Jaccard 0.8 or more), the
-    document with the smallest id."""
+    """Of each group of near-duplicates (five words, Jaccard 0.8 or more, linked
+    directly or by others), the document with the smallest id.  Texts without
+    words are near nothing; rows with a null id stay."""
     return jaccard_join.drop_near_duplicates(docs)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture of their sources."""
+    """All documents, in the order of the mixture of their sources.  Null and
+    unnamed sources are one source; a null text takes one byte.  Ties within a
+    source are broken by id, size and a checksum of the text; rows that repeat an
+    id take its earliest place."""
     return mixing.in_mixed_order(docs, MIX_WEIGHTS, MIX_BLOCK_BYTES, MIX_OTHER)
 
 
 def tokenized_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, the SHA-256 of the bytes they decode to
     (its text's, if the round trip is right), and its place in the mixture: reading by
-    (slot, start_byte) gives the mixture, in whatever files the rows are."""
+    (slot, start_byte) gives the mixture, in whatever files the rows are.  A null
+    text has no tokens; repeated rows have a row each."""
     import public_tokenizers as vocab
 
     path = vocab.path("byte_bpe_50k.tiktoken")
