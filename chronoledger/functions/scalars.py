@@ -91,6 +91,7 @@ def short_hash(value: ColumnLike) -> Column:
     return F.regexp_replace(_col(value), "^([^:]*:)(.{0,12}).*$", "$1$2")
 
 
+# How a summary names its HTTP status, and the class of each status.
 def http_status(summary: ColumnLike) -> Column:
     return F.regexp_extract(_col(summary), r"(?i)\bHTTP\s+(\d{3})\b", 1).try_cast("int")
 
@@ -110,6 +111,7 @@ FAILURE_LINE = (
 )
 
 
+# The words that tell the reason of a failed start.
 def gateway_reason(text: ColumnLike) -> Column:
     """Class of a start failure by the first keyword that its text has."""
     v = F.lower(F.coalesce(_col(text), F.lit("")))
@@ -264,6 +266,7 @@ def payload_summary(event_type: ColumnLike, fields: ColumnLike, content_hash: Co
     return F.array_join(F.filter(F.concat(parts, tail), lambda x: x.isNotNull()), " ")
 
 
+# The sentence for each kind of finding.
 def finding_detail(event_type: ColumnLike, payload: ColumnLike) -> Column:
     """One line that says what a finding found."""
     kind, text = _col(event_type), _col(payload)

@@ -19,6 +19,10 @@ class Cron:
     month: tuple[int, ...]
     weekday: tuple[int, ...]
 
+    def values(self) -> Column:
+        """The fields as a struct of arrays, as cron_fields gives them."""
+        return F.struct(*[F.array(*[F.lit(v) for v in getattr(self, name)]).alias(name) for name, _, _ in BOUNDS])
+
     def admits(self, instant: Column, zone_seconds: Column | int = 0) -> Column:
         """Whether an instant (epoch seconds) is named, by the wall clock of a
         zone so many seconds ahead of UTC."""

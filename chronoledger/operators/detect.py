@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..functions.schedule import Cron, cron_fields, instants_of, minutes_between
+from ..functions.schedule import Cron, cron_fields, instants_of
 from .mappers import payload_of
 
 #: Sequences that one bucket of the gap scan covers.
@@ -219,7 +219,7 @@ def cron_misses(jobs: DataFrame, fires: DataFrame, cron: Cron, now: float, lookb
     """
     first = fires.groupBy("job_id").agg(F.min("at").alias("first_fire"))
     anchored = jobs.join(first, "job_id", "left").withColumn("lower", F.greatest(F.coalesce("first_fire", "created"), F.lit(now - lookback))).filter("lower is not null")
-    due = anchored.select("job_id", F.explode(minutes_between(F.col("lower"), F.lit(now))).alias("instant")).filter(cron.admits(F.col("instant"), zone_seconds))
+    due = anchored.select("job_id", F.explode(instants_of(cron.values(), F.col("lower"), F.lit(now), F.lit(zone_seconds))).alias("instant"))
     return _runs_of_misses(due, fires, now, slack)
 
 

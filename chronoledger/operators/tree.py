@@ -108,33 +108,34 @@ def subtree_totals(nodes: DataFrame, own: DataFrame, measures: list[str]) -> Dat
 
     Sums double as pointers do: a node's sum over the 2^k nearest levels and the
     sums of the nodes 2^k levels below it are its sum over 2^(k + 1) levels.  So
-    a forest takes a row a node in each of log2(depth) rounds; only nodes on and
-    below circles are told by pairs, as a circle has its members below each other.
+    a forest takes a row a node in each of log2(depth) rounds.  Pointers that
+    never end (see _walks) are those of nodes on and below circles; only these
+    are told by pairs, as a circle has its members below each other.
     """
-    parents = nodes.select("id", "parent")
-    _, endless = _walks(parents)
-    held = parents.join(own.select("id", *measures), "id", "left").select("id", "parent", *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures])
-    tree = held if endless is None else held.join(endless.select("id"), "id", "left_anti")
-    out = _tree_totals(tree, measures)
-    if endless is None:
-        return out
-    # Nothing in a circle is below a tree's node, so its nodes are told alone.
-    ringed = closure(endless.select("id", F.col("up").alias("parent"))).join(held.drop("parent"), "id")
-    return out.unionByName(ringed.groupBy(F.col("ancestor").alias("id")).agg(*[F.sum(m).alias(m) for m in measures], F.count(F.lit(1)).alias("nodes")))
-
-
-def _tree_totals(tree: DataFrame, measures: list[str]) -> DataFrame:
     sums = [*measures, "nodes"]
-    state = tree.join(tree.select(F.col("id").alias("up")), F.col("parent") == F.col("up"), "left").select("id", "up", *measures, F.lit(1).cast("long").alias("nodes"))
-    state = cut(state)
-    while not state.filter("up is not null").isEmpty():
+    known = _known_up(nodes.select("id", "parent"))
+    held = known.join(own.select("id", *measures), "id", "left").select("id", "up", *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures])
+    there = nodes.select(F.col("id").alias("_id"))
+    state = cut(held.join(there, F.col("up") == F.col("_id"), "left").select("id", F.col("_id").alias("up"), *measures, F.lit(1).cast("long").alias("nodes")))
+    left = -1
+    while True:
+        still = state.filter("up is not null").count()
+        if still in (0, left):
+            break
+        left = still
         below = state.filter("up is not null").groupBy(F.col("up").alias("_at")).agg(*[F.sum(m).alias(f"_{m}") for m in sums])
         far = state.select(F.col("id").alias("_mid"), F.col("up").alias("_far"))
         grown = state.join(below, F.col("id") == F.col("_at"), "left").join(far, F.col("up") == F.col("_mid"), "left")
         then = cut(grown.select("id", F.col("_far").alias("up"), *[(F.col(m) + F.coalesce(F.col(f"_{m}"), F.lit(0))).alias(m) for m in sums]))
         drop(state)
         state = then
-    return state.select("id", *sums)
+    if not still:
+        return state.select("id", *sums)
+    # Nothing on a circle is below a node of a tree, so the sums of trees are whole.
+    ringed = known.join(state.filter("up is not null").select("id"), "id", "left_semi")
+    pairs = closure(ringed.select("id", F.col("up").alias("parent"))).join(held.drop("up"), "id")
+    told = pairs.groupBy(F.col("ancestor").alias("id")).agg(*[F.sum(m).alias(m) for m in measures], F.count(F.lit(1)).alias("nodes"))
+    return state.filter("up is null").select("id", *sums).unionByName(told)
 
 
 def forest(nodes: DataFrame) -> DataFrame:

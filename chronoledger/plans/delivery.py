@@ -3,12 +3,16 @@ files, stamps, and small durable state."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from ..operators import knowledge as knowledge_path
 from ..operators import ledger as book
 from ..operators import mappers, retention, security, settings, shipping, state, status, store
+from ..operators.lineage import shared_dir
 from ..sources import scans
 from .activity import _WINDOWS, _windows
 from .driver import INSTALLATION, LEDGER_SQL, all_events, epoch, ledger, table
@@ -153,6 +157,16 @@ def spool_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.tail_cursors(f, scans.tail_lines(f, c), c).select("file", "generation", "offset")
 
 
+def spool_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spool files written and read as files: whole lines with their bytes."""
+    path = f"{shared_dir(spark).rstrip('/')}/spool-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct(F.col("event_type"), F.col("event_id").alias("n"), F.lit("é").alias("text")))
+    table(spark, sf_dir, "events").select(line.alias("value")).repartition(3).write.text(path)
+    lines = scans.tail_lines(scans.spool_files(spark, path, r"^(part)"))
+    kept = scans.json_objects(lines, "event_type string, n long")
+    return kept.select("generation", F.col("object.n").alias("n"), F.col("object.event_type").alias("event_type"), (F.col("until") - F.col("offset")).cast("long").alias("bytes"))
+
+
 def heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that hold one number, no number, and none at all."""
     first = table(spark, sf_dir, "events").agg(F.max("event_id").cast("string").alias("v"))
@@ -382,8 +396,36 @@ def scan_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(counts, "doc_id", "left").select("doc_id", "status", F.coalesce("scanned", F.lit(0)).alias("scanned"))
 
 
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and purchases as knowledge calls of one skill a user: purchases
+    delete it, every seventh call failed, every ninth is another tool's."""
+    k = F.col("event_id")
+    e = ledger(spark, sf_dir).filter("event_type in ('tool.call_completed', 'invocation.completed')").select(k, F.col("session_id").alias("s"), (F.col("event_type") == "invocation.completed").alias("gone"))
+    args = F.to_json(F.struct(F.when(F.col("gone"), "delete").otherwise("create").alias("action"), F.lit("n").alias("name"), F.col("s").alias("category"), F.repeat(F.lit("long "), F.when(k % 6 == 0, 30).otherwise((k % 2 + 1).cast("int"))).alias("content")))
+    call = F.to_json(F.array(F.struct(F.concat(F.lit("c"), k).alias("id"), F.struct(F.when(k % 9 == 0, "other").otherwise("skill_manage").alias("name"), args.alias("arguments")).alias("function"))))
+    none = F.lit(None).cast("string")
+    asked = e.select((k * 2).alias("id"), F.col("s").alias("session_id"), F.lit("assistant").alias("role"), none.alias("tool_call_id"), call.alias("tool_calls"), none.alias("content"))
+    told = e.select((k * 2 + 1).alias("id"), F.col("s").alias("session_id"), F.lit("tool").alias("role"), F.concat(F.lit("c"), k).alias("tool_call_id"), none.alias("tool_calls"), F.when(k % 7 == 0, '{"success": false}').otherwise('{"success": true}').alias("content"))
+    return asked.unionByName(told)
+
+
+def knowledge_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of all skills, from calls to events; files above 100 bytes are skipped."""
+    artifacts = spark.createDataFrame([], "artifact_id string, name string, tombstone boolean, first_seen double")
+    versions, events = knowledge_path.captured(_calls(spark, sf_dir), artifacts, max_file=100)
+    size = F.get_json_object("bundle", "$.files[0].byte_count").cast("long")
+    return versions.join(events, ["artifact_id", "seq"]).select("artifact_id", "seq", "at", "tombstone", F.size("skipped").alias("skipped"), "action", size.alias("bytes"))
+
+
+def delegation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are new since a mark, read with 32 of overlap."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    high = scans.high_water(o, "id", 0)
+    return scans.bounded(o, "id", high - high // 4, 32, high).select("id")
+
+
 QUERIES = {f.__name__: f for f in (
-    settings_resolved, status_report, drift_grace, migrated_versions, ledger_since, gateway_absent, execution_rows, scan_budget,
+    knowledge_versions, delegation_scan, spool_read, settings_resolved, status_report, drift_grace, migrated_versions, ledger_since, gateway_absent, execution_rows, scan_budget,
     ledger_append_pruned, append_rejects, retention_tombstones, companion_findings, batch_limit, ship_acknowledged, ship_outcome, retry_classes, key_batches, poll_scan, spool_tail, spool_cursors, heartbeat,
     runtime_stamps, config_home_mode, meta_state, meta_deleted, windows_state, horizons, memory_states, version_lookups, first_seen, secret_rules, suppressions, hook_kinds, chunk_ranges,
 )}
@@ -410,6 +452,13 @@ def _mac(message: str) -> str:
 _CONFIG_MODES = ", ".join(f"'{m}'" for m in CONFIGS.values())
 
 ORACLES = {
+    "knowledge_versions": f"""WITH {LEDGER_SQL}, c AS (SELECT session_id AS s, event_id AS k, event_type = 'invocation.completed' AS gone, CASE WHEN event_id % 6 = 0 THEN 150 ELSE 5 * (event_id % 2 + 1) END AS size FROM ledger
+            WHERE event_type IN ('tool.call_completed', 'invocation.completed') AND event_id % 9 > 0 AND event_id % 7 > 0),
+        t AS (SELECT s, k, CASE WHEN gone THEN 0 ELSE size END AS state FROM c), d AS (SELECT *, lag(state) OVER (PARTITION BY s ORDER BY k) AS before FROM t),
+        v AS (SELECT s, k, state, row_number() OVER (PARTITION BY s ORDER BY k) AS seq FROM d WHERE state IS DISTINCT FROM before)
+        SELECT 'skill:' || s || '/n' AS artifact_id, seq, k * 2 + 1 AS at, state = 0 AS tombstone, CASE WHEN state > 100 THEN 1 ELSE 0 END AS skipped, CASE WHEN state = 0 THEN 'delete' WHEN seq = 1 THEN 'create' ELSE 'update' END AS action, CASE WHEN state BETWEEN 1 AND 100 THEN state END AS bytes FROM v""",
+    "spool_read": """SELECT 'part' AS generation, event_id AS n, event_type, octet_length(encode('{"event_type":"' || event_type || '","n":' || event_id || ',"text":"é"}')) + 1 AS bytes FROM events""",
+    "delegation_scan": "SELECT o_orderkey AS id FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) - max(o_orderkey) // 4 - 32 FROM orders)",
     "settings_resolved": """SELECT * FROM (VALUES ('capture', 'interval_seconds', '15.0', 'default'), ('capture', 'max_content_bytes', '2000', 'environment'), ('capture', 'message_roles', '["user"]', 'environment'),
         ('capture', 'required_sources', '["hook","state_db"]', 'default'), ('capture', 'sources', '{"cron":false}', 'file'), ('knowledge', 'history', '"full"', 'default'), ('knowledge', 'max_artifact_bytes', '8388608', 'default'),
         ('knowledge', 'max_file_bytes', '4194304', 'default'), ('knowledge', 'max_file_count', '256', 'default'), ('knowledge', 'max_versions', 'null', 'default'), ('reconcile', 'audit_interval_seconds', '3600.0', 'default'),

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Fixed values that must be as they are, here and in the other modules, stand
+# together under a comment that says so; where their order has no meaning it is
+# alphabetical.
+
 SCHEMA_VERSION = "1"
 
 # Event types of envelope version 1.

@@ -84,6 +84,15 @@ def spool(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     return reader.format("text").load(path).select("value", F.col("_metadata.file_name").alias("file"))
 
 
+def spool_files(spark: SparkSession, path: str, generation: str = r"") -> DataFrame:
+    """Files below `path` as tail_lines takes them: (file, generation, content).
+    The generation is the first group of the pattern in the file's name, or empty
+    without one.  Spools are rotated at 64 MB, so a task holds one."""
+    files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path)
+    name = F.col("_metadata.file_name")
+    return files.select(name.alias("file"), (F.regexp_extract(name, generation, 1) if generation else F.lit("")).alias("generation"), F.col("value").alias("content"))
+
+
 def tail_lines(files: DataFrame, cursors: DataFrame | None = None) -> DataFrame:
     """New complete lines of files that grow: (file, generation, offset, until,
     value), the offset in bytes being where a line starts.
