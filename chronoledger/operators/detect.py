@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..functions.schedule import Cron, cron_fields, instants_of
+from ..sources.scans import active_jobs
 from .mappers import payload_of
 
 #: Sequences that one bucket of the gap scan covers.
@@ -259,14 +260,36 @@ def _near(due: DataFrame, reach: DataFrame, width: float, slack: float) -> DataF
     return due.join(close.withColumn("found", F.lit(True)), ["job_id", "instant"], "left").select("job_id", "instant", F.coalesce("found", F.lit(False)).alias("hit"))
 
 
-def schedule_findings(misses: DataFrame, now: float, ticker_stale: bool, horizon: float = 0.0) -> DataFrame:
-    """A finding for each run of misses; tails are not told while the ticker is
-    dead, nor what was due before the horizon."""
+def job_misses(jobs: DataFrame, runs: DataFrame, now: float, slack: float, once_slack: float, lookback: float) -> DataFrame:
+    """(job_id, kind, first, missed, tail) of all jobs that are active, each by
+    its kind of schedule; other kinds, and schedules that say nothing, expect
+    nothing.  jobs: of scans.jobs.  runs: (job_id, claimed_epoch)."""
+    active = active_jobs(jobs).withColumnRenamed("id", "job_id").withColumn("kind", F.col("schedule.kind"))
+    fires = runs.filter("claimed_epoch is not null").select("job_id", F.col("claimed_epoch").alias("at"))
+    listed = fires.groupBy("job_id").agg(F.array_sort(F.collect_list("at")).alias("fires"))
+    none = F.array().cast("array<double>")
+    of = lambda kind: active.filter(F.col("kind") == kind).join(listed, "job_id", "left").withColumn("fires", F.coalesce("fires", none))
+    text = lambda name: F.nullif(F.col(f"schedule.{name}"), F.lit(""))
+    every = of("interval").filter("schedule.minutes > 0").select("job_id", "fires", S.to_epoch("created_at").alias("created"), (F.col("schedule.minutes") * 60).alias("step"), F.lit(slack).alias("slack"))
+    once = of("once").select("job_id", "fires", S.to_epoch(F.coalesce(text("run_at"), "next_run_at")).alias("run_at"), F.lit(once_slack).alias("slack"))
+    cron = active.filter("kind = 'cron'").select("job_id", F.coalesce(text("expression"), text("cron"), text("expr")).alias("expression"), "created_at", "next_run_at")
+    parts = {"interval": interval_misses(every, now), "once": once_misses(once, now), "cron": cron_job_misses(cron, fires, now, lookback, slack)}
+    out = None
+    for kind, found in parts.items():
+        tagged = found.select("job_id", F.lit(kind).alias("kind"), "first", "missed", "tail")
+        out = tagged if out is None else out.unionByName(tagged)
+    return out
+
+
+def schedule_findings(misses: DataFrame, ticker_stale: bool, horizon: float = 0.0) -> DataFrame:
+    """A finding for each run of misses, at the time of its first; tails are not
+    told while the ticker is dead, nor what was due before the horizon."""
     told = misses.filter(F.col("first") >= horizon)
     told = told.filter(~F.col("tail")) if ticker_stale else told
+    kind = F.col("kind") if "kind" in misses.columns else F.lit(None).cast("string")
     return finding(
-        told, "cron.run_missed", F.lit(now), F.col("job_id"), F.concat_ws(":", F.lit("reconcile:missed"), F.col("job_id").cast("string"), F.col("first").cast("long").cast("string")),
-        job_id=F.col("job_id").cast("string"), expected_fire_at=F.col("first"), missed_count=F.col("missed"),
+        told, "cron.run_missed", F.col("first"), F.col("job_id"), F.concat_ws(":", F.lit("reconcile:missed"), F.col("job_id").cast("string"), F.col("first").cast("long").cast("string")),
+        job_id=F.col("job_id").cast("string"), expected_fire_at=F.col("first"), missed_count=F.col("missed"), schedule_kind=kind, catch_up=F.col("missed") > 1,
     )
 
 

@@ -22,6 +22,13 @@ def versions_after(versions: DataFrame, cursors: DataFrame) -> DataFrame:
     return versions.join(cursors.select("artifact_id", F.col("seq").alias("_cursor")), "artifact_id", "left").filter(F.col("seq") > F.coalesce("_cursor", F.lit(0))).drop("_cursor")
 
 
+def version_blobs(versions: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(artifact_id, seq, path, blob_hash, size, content) of the files of some
+    versions (manifest); a blob that is not stored has neither size nor content."""
+    files = versions.select("artifact_id", "seq", F.inline("manifest"))
+    return files.join(blobs.select("blob_hash", "content"), "blob_hash", "left").select("artifact_id", "seq", "path", "blob_hash", F.octet_length("content").cast("long").alias("size"), "content")
+
+
 def first_artifacts(known: DataFrame, seen: DataFrame) -> DataFrame:
     """Artifacts by id, each as it was first seen."""
     columns = [c for c in known.columns if c != "artifact_id"]

@@ -158,3 +158,12 @@ def below(nodes: DataFrame, ids: list) -> DataFrame:
         if new.isEmpty():
             return found
         found, edge = found.unionByName(new), new
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """(id, path) with the ids from the root down to each node of a tree; nodes in
+    order of their paths are a tree's lines, each below its parent.  Members of a
+    circle have no path."""
+    placed = forest(nodes).select("root", "id")
+    above = closure(nodes).join(placed, "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("up"), F.col("ancestor")))).alias("_line"))
+    return above.select("id", F.transform("_line", lambda x: x["ancestor"]).alias("path"))

@@ -161,7 +161,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     misses = detect.interval_misses(_order_fires(spark, sf_dir), NOW_ORDERS)
     parts = [
         detect.gap_findings(_gaps(spark, sf_dir), NOW_EVENTS), detect.coverage_findings(_orders_absent(spark, sf_dir), NOW_EVENTS), detect.terminal_findings(_missing(spark, sf_dir), NOW_EVENTS),
-        detect.lease_findings(_dead(spark, sf_dir), NOW_ORDERS), detect.schedule_findings(misses, NOW_ORDERS, ticker_stale=True),
+        detect.lease_findings(_dead(spark, sf_dir), NOW_ORDERS), detect.schedule_findings(misses, ticker_stale=True),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.schedule import cron_fields
 from ..operators import coverage, detect, tree, views
-from .driver import NOW_EVENTS, epoch, table
+from ..sources import scans
+from .audit import _INTERVAL
+from .driver import NOW_EVENTS, NOW_ORDERS, epoch, table
 
 #: Sessions start an hour apart from here; rows from before HORIZON are not judged.
 START, HORIZON = 788918400.0, 788918400.0 + 10 * 3600
@@ -203,7 +205,39 @@ def tree_below(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.below(nodes, [5, -2, -9]).select("root", "id", "depth")
 
 
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each node stands among a tree's lines; a circle has no place."""
+    odd = spark.createDataFrame([(-1, -2), (-2, -3), (-3, -1), (-9, -77), (-10, -9)], "id long, parent long")
+    k = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k > 1, F.expr("c_custkey div 2")).alias("parent")).unionByName(odd)
+    return tree.paths(nodes).select("id", F.concat_ws("/", F.transform("path", lambda x: x.cast("string"))).alias("path"))
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(jobs, runs): customers as jobs of all kinds in one document, orders as runs."""
+    k = F.col("c_custkey")
+    iso = lambda t: F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    schedule = F.struct(
+        F.element_at(F.array(F.lit("interval"), F.lit("once"), F.lit("cron"), F.lit("other")), (k % 4 + 1).cast("int")).alias("kind"), F.when(k % 4 == 0, F.lit(43200.0)).alias("minutes"),
+        F.when((k % 4 == 1) & (k % 3 > 0), iso(F.lit(852076800) + k * 86400)).alias("run_at"), F.when(k % 4 == 2, "").alias("expression"), F.when(k % 4 == 2, "0 0 * * *").alias("cron"),
+    )
+    job = F.struct(k.cast("string").alias("id"), (k % 10 != 9).alias("enabled"), iso(F.lit(788918400) + k * 3600).alias("created_at"), F.when(k % 4 == 1, iso(F.lit(852076800) + k * 86400)).alias("next_run_at"), schedule.alias("schedule"))
+    docs = table(spark, sf_dir, "customer").groupBy((k % 3).alias("g")).agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("value"))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("job_id"), epoch("o_orderdate").alias("claimed_epoch"))
+    return scans.jobs(docs), runs
+
+
+def job_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of every kind in one plan."""
+    jobs, runs = _jobs(spark, sf_dir)
+    found = detect.job_misses(jobs, runs, NOW_ORDERS, 432000.0, 432000.0, 3456000.0)
+    told = detect.schedule_findings(found, ticker_stale=False, horizon=800000000.0)
+    get = lambda name: F.get_json_object("payload", f"$.{name}")
+    return told.select(get("job_id").cast("long").alias("job_id"), get("schedule_kind").alias("kind"), F.col("occurred_at").cast("long").alias("first"), get("missed_count").cast("long").alias("missed"), (get("catch_up") == "true").alias("catch_up"))
+
+
 QUERIES = {f.__name__: f for f in (
+    tree_paths, job_misses,
     coverage_sessions, coverage_messages, coverage_usage, coverage_executions, coverage_tasks, coverage_runs, coverage_kinds, cron_jobs_missed, cron_expressions, task_status, task_text, finding_shapes, tree_below,
 )}
 
@@ -234,7 +268,20 @@ _CRON_CASE = """CASE j % 5
         WHEN 3 THEN mi IN (5, 20, 35, 50) AND hr IN (8, 20) AND mon = 1 AND dow BETWEEN 2 AND 4
         ELSE false END"""
 
+_JOBS = f"""fr AS (SELECT o_custkey AS j, epoch_us(o_orderdate) / 1e6 AS t FROM orders),
+    cj AS (SELECT c_custkey AS j, greatest(coalesce(min(t), 788918400 + c_custkey * 3600), {NOW_ORDERS} - 3456000) AS lower FROM customer LEFT JOIN fr ON fr.j = c_custkey WHERE c_custkey % 4 = 2 AND c_custkey % 10 <> 9 GROUP BY c_custkey),
+    mm AS (SELECT unnest(range({int(NOW_ORDERS)} - 3456000, {int(NOW_ORDERS)} + 1, 86400)) AS instant),
+    due AS (SELECT j, instant, EXISTS (SELECT 1 FROM fr WHERE fr.j = cj.j AND abs(fr.t - instant) <= 432000) AS hit FROM cj JOIN mm ON instant >= lower),
+    isl AS (SELECT *, sum(CAST(hit AS INT)) OVER (PARTITION BY j ORDER BY instant) AS island FROM due),
+    told AS (
+        SELECT job_id, 'interval' AS kind, first, CAST(missed AS BIGINT) AS missed FROM misses WHERE job_id % 4 = 0 AND job_id % 10 <> 9
+        UNION ALL SELECT c_custkey, 'once', 852076800 + c_custkey * 86400, 1 FROM customer WHERE c_custkey % 4 = 1 AND c_custkey % 10 <> 9 AND 852076800 + c_custkey * 86400 + 432000 <= {NOW_ORDERS} AND NOT EXISTS (SELECT 1 FROM fr WHERE j = c_custkey AND abs(t - (852076800 + c_custkey * 86400)) <= 432000)
+        UNION ALL SELECT j, 'cron', min(instant), count(*) FROM isl WHERE NOT hit AND instant <= {NOW_ORDERS} - 432000 GROUP BY j, island)"""
+
 ORACLES = {
+    "tree_paths": """WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer UNION ALL VALUES (-1, -2), (-2, -3), (-3, -1), (-9, -77), (-10, -9)),
+        p AS (SELECT id, CAST(id AS VARCHAR) AS path FROM n WHERE parent IS NULL OR parent NOT IN (SELECT id FROM n) UNION ALL SELECT n.id, p.path || '/' || n.id FROM p JOIN n ON n.parent = p.id) SELECT id, path FROM p""",
+    "job_misses": f"WITH RECURSIVE {_INTERVAL}, {_JOBS} SELECT job_id, kind, CAST(floor(first) AS BIGINT) AS first, missed, missed > 1 AS catch_up FROM told WHERE first >= 800000000",
     "coverage_sessions": f"WITH RECURSIVE {_SESSIONS} SELECT 'session' AS subject_type, subject_id, 'state.db:sessions' AS source_table, correlation_id, subject_id AS session_id, parent_session_id FROM s1",
     "coverage_messages": f"WITH {_MESSAGES} SELECT subject_id, 'state.db:messages' AS source_table, correlation_id, session_id FROM s2",
     "coverage_usage": f"WITH {_USAGE} SELECT subject_id, 'state.db:session_model_usage' AS source_table, session_id FROM s3",

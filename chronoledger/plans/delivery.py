@@ -274,6 +274,17 @@ def version_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.versions_after(versions, cursors)
 
 
+def blob_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the second versions with their blobs, of which some are not stored."""
+    from ..operators import lookups
+    from .knowledge import _files
+
+    f = _files(spark, sf_dir)
+    versions = store.manifests(f).filter("version = 1").withColumn("seq", F.col("version") + 1)
+    blobs = table(spark, sf_dir, "documents").filter("doc_id % 6 > 0").select(S.content_hash("text").alias("blob_hash"), F.col("text").alias("content")).dropDuplicates(["blob_hash"])
+    return lookups.version_blobs(versions, blobs).select("artifact_id", "path", "size", F.sha2("content", 256).alias("sha"))
+
+
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artifacts as they were first seen, whatever came later."""
     from ..operators import lookups
@@ -425,7 +436,7 @@ def delegation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    knowledge_versions, delegation_scan, spool_read, settings_resolved, status_report, drift_grace, migrated_versions, ledger_since, gateway_absent, execution_rows, scan_budget,
+    knowledge_versions, blob_lookup, delegation_scan, spool_read, settings_resolved, status_report, drift_grace, migrated_versions, ledger_since, gateway_absent, execution_rows, scan_budget,
     ledger_append_pruned, append_rejects, retention_tombstones, companion_findings, batch_limit, ship_acknowledged, ship_outcome, retry_classes, key_batches, poll_scan, spool_tail, spool_cursors, heartbeat,
     runtime_stamps, config_home_mode, meta_state, meta_deleted, windows_state, horizons, memory_states, version_lookups, first_seen, secret_rules, suppressions, hook_kinds, chunk_ranges,
 )}
@@ -458,6 +469,8 @@ ORACLES = {
         v AS (SELECT s, k, state, row_number() OVER (PARTITION BY s ORDER BY k) AS seq FROM d WHERE state IS DISTINCT FROM before)
         SELECT 'skill:' || s || '/n' AS artifact_id, seq, k * 2 + 1 AS at, state = 0 AS tombstone, CASE WHEN state > 100 THEN 1 ELSE 0 END AS skipped, CASE WHEN state = 0 THEN 'delete' WHEN seq = 1 THEN 'create' ELSE 'update' END AS action, CASE WHEN state BETWEEN 1 AND 100 THEN state END AS bytes FROM v""",
     "spool_read": """SELECT 'part' AS generation, event_id AS n, event_type, octet_length(encode('{"event_type":"' || event_type || '","n":' || event_id || ',"text":"é"}')) + 1 AS bytes FROM events""",
+    "blob_lookup": f"""WITH {_FILES}, b AS (SELECT DISTINCT text FROM documents WHERE doc_id % 6 > 0)
+        SELECT artifact_id, path, CASE WHEN b.text IS NOT NULL THEN size END AS size, sha256(b.text) AS sha FROM f LEFT JOIN b ON b.text = f.text WHERE version = 1""",
     "delegation_scan": "SELECT o_orderkey AS id FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) - max(o_orderkey) // 4 - 32 FROM orders)",
     "settings_resolved": """SELECT * FROM (VALUES ('capture', 'interval_seconds', '15.0', 'default'), ('capture', 'max_content_bytes', '2000', 'environment'), ('capture', 'message_roles', '["user"]', 'environment'),
         ('capture', 'required_sources', '["hook","state_db"]', 'default'), ('capture', 'sources', '{"cron":false}', 'file'), ('knowledge', 'history', '"full"', 'default'), ('knowledge', 'max_artifact_bytes', '8388608', 'default'),

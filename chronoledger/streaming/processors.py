@@ -1,5 +1,5 @@
 """Keyed state as transformWithState processors: pending invocations, cumulative
-counters, first sightings with a grace period, and invocation windows.
+counters, first sightings with a grace period, invocation windows, and what is open.
 
 The rows that a key has in one micro-batch are sorted together, so they are held
 together: the stream's trigger limits (files or offsets a batch) bound them."""
@@ -133,6 +133,35 @@ class KeepWindows(StatefulProcessor):
         pass
 
 
+class OpenSubjects(StatefulProcessor):
+    """Sessions or runs that are open: rows (subject, at, open) to (subject,
+    opened_at, closed_at) when one closes.  What is open again and again opened
+    at its first time; a close of what is not open is passed over."""
+
+    SCHEMA = "subject string, opened_at double, closed_at double"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.since = handle.getValueState("since", "at double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        since = self.since.get()[0] if self.since.exists() else None
+        out = []
+        for r in pd.concat(list(rows)).sort_values("at").itertuples():
+            if r.open:
+                since = r.at if since is None else since
+            elif since is not None:
+                out.append((key[0], float(since), float(r.at)))
+                since = None
+        if since is None:
+            self.since.clear()
+        else:
+            self.since.update((float(since),))
+        yield pd.DataFrame(out, columns=["subject", "opened_at", "closed_at"])
+
+    def close(self) -> None:
+        pass
+
+
 def run_stateful(stream: DataFrame, key: str, processor: StatefulProcessor) -> DataFrame:
     """`processor` over `stream` keyed by `key`; needs the RocksDB state store."""
     return stream.groupBy(key).transformWithStateInPandas(processor, outputStructType=processor.SCHEMA, outputMode="Append", timeMode="None")

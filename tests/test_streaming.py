@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoledger.operators import attribution
 from chronoledger.operators.mappers import hook_records
-from chronoledger.streaming.processors import CounterDeltas, GraceSightings, KeepWindows, PairInvocations, run_stateful
+from chronoledger.streaming.processors import CounterDeltas, GraceSightings, KeepWindows, OpenSubjects, PairInvocations, run_stateful
 from chronoledger.streaming.sink import LedgerSink
 
 SCHEMA = "installation_id string, arrival long, dedup_key string, event_type string"
@@ -133,6 +133,11 @@ def test_newest_windows_are_kept():
     assert [(r[1], r[2], None if pd.isna(r[3]) else r[3]) for r in got] == [("a", 1.0, None), ("b", 2.0, None), ("c", 3.0, 4.0), ("d", 5.0, None)]
 
 
+def test_what_closes_was_open_since(spark):
+    batches = [[("s", 1.0, True), ("s", 2.0, True)], [("s", 5.0, False), ("s", 6.0, False)], [("s", 9.0, False), ("s", 8.0, True)], [("s", 10.0, True)]]
+    assert fed(OpenSubjects(), "s", batches, ["subject", "at", "open"]) == [("s", 1.0, 5.0), ("s", 8.0, 9.0)]
+
+
 def test_hook_lines(spark):
     text = [
         '{"event_type": "session:start", "captured_at": 5, "context": {"session_id": "s", "session_key": "k", "platform": "chat"}}', "", "{broken", '{"event_type": "other"}', '"text"',
