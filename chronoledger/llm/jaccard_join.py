@@ -78,18 +78,26 @@ def prefix_length(n: int, c: int, num: int, den: int) -> int:
     return min(n, n - least_overlap(n, num, den) + c)
 
 
-def order_levels(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(level of each cell in the order of shingles, counts of rare cells).
+def order_levels(cells: np.ndarray) -> tuple[np.ndarray, float]:
+    """(level of each cell in the order of shingles, how many other sets a posting
+    of a rare shingle meets on average).
 
     Levels rise with the count, in eighths of its standard deviation and, far
     above the mean, with its logarithm: a shingle of n documents stands behind
-    almost all others as soon as n exceeds a few deviations.
+    almost all others as soon as n exceeds a few deviations.  Cells are taken
+    piece by piece, so that little is held beside them.
     """
-    mean = cells.mean()
-    z = (cells - mean) / max(math.sqrt(mean), 1e-9)
-    near = np.clip((z + 4) * 8, 0, 96)
-    far = 96 + 8 * np.log2(np.maximum(z, 8) / 8)
-    return np.clip(np.where(z <= 8, near, far), 0, 255).astype(np.uint8), cells[cells <= max(4.0, mean + 6 * math.sqrt(mean))]
+    mean = float(cells.mean(dtype=np.float64)) if len(cells) else 0.0
+    levels, n, total, squares = np.empty(len(cells), np.uint8), 0, 0.0, 0.0
+    for at in range(0, len(cells), 1 << 18):
+        part = cells[at : at + (1 << 18)].astype(np.float64)
+        z = (part - mean) / max(math.sqrt(mean), 1e-9)
+        near = np.clip((z + 4) * 8, 0, 96)
+        far = 96 + 8 * np.log2(np.maximum(z, 8) / 8)
+        levels[at : at + (1 << 18)] = np.clip(np.where(z <= 8, near, far), 0, 255)
+        rare = part[part <= max(4.0, mean + 6 * math.sqrt(mean))]
+        n, total, squares = n + len(rare), total + float(rare.sum()), squares + float((rare**2).sum())
+    return levels, max(0.0, squares - total**2 / max(1, n) - total) / max(1.0, total)
 
 
 def choose_boundary(sizes: dict[int, int], shared: float, num: int, den: int) -> int:
@@ -191,19 +199,20 @@ class _Join:
         return self.docs.select("_key", "_text").mapInArrow(run, schema)
 
     def frequencies(self, described: DataFrame) -> np.ndarray:
-        """The sketch's cells, summed on the executors: 128 MB at most."""
+        """The sketch's cells, summed on the executors: 64 MB at most.  A sum that
+        is beyond 32 bits stays at the largest; it only orders shingles."""
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 for i, c in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                     got = np.frombuffer(c, np.uint32).astype(np.int64)
                     sums[i] = sums[i] + got if i in sums else got
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
         parts = described.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(total, "chunk int, counts binary")
-        out = np.zeros((CHUNKS, (1 << self.cell_bits) // CHUNKS), np.int64)
+        out = np.zeros((CHUNKS, (1 << self.cell_bits) // CHUNKS), np.uint32)
         for row in parts.collect():
-            out[row["chunk"]] += np.frombuffer(bytes(row["counts"]), np.int64)
+            out[row["chunk"]] = np.frombuffer(bytes(row["counts"]), np.uint32)
         return out.reshape(-1)
 
     def renamed(self, ids: DataFrame) -> dict[tuple[int, int], int]:
@@ -338,9 +347,7 @@ class _Join:
         ids = ids.select("_key", "n", _node_column(new).alias("node"), "bits", "print", "upper")
         cells = self.frequencies(described)
         sizes = {r["n"]: r["count"] for r in ids.filter("n > 0").groupBy(F.least("n", F.lit(4096)).alias("n")).count().collect()}
-        levels, rare = order_levels(cells)
-        rare = rare.astype(np.float64)
-        shared = max(0.0, float((rare**2).sum() - rare.sum() ** 2 / max(1, len(rare)) - rare.sum()) / max(1.0, float(rare.sum())))
+        levels, shared = order_levels(cells)
         boundary = choose_boundary(sizes, shared, self.num, self.den)
 
         posted = write(self.postings(levels, boundary, new))
