@@ -58,7 +58,9 @@ def features_of(texts: pa.Array) -> np.ndarray:
     each text; zeros for null ones and those without words."""
     h, offsets = word_hashes(texts)
     bodies = pc.fill_null(texts, "").cast(pa.large_binary())
-    raw, ends = np.frombuffer(bodies.buffers()[2] or b"", np.uint8), np.frombuffer(bodies.buffers()[1], np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
+    ends = np.frombuffer(bodies.buffers()[1], np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
+    # The buffer is that of the whole batch, of which `texts` may be a slice.
+    raw, ends = np.frombuffer(bodies.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
     out = np.zeros((len(texts), WIDTH), np.float32)
     low = np.where((raw >= 65) & (raw <= 90), raw | 32, raw).astype(np.uint32)
     runs = ((low[:-2] << np.uint32(16)) ^ (low[1:-1] << np.uint32(8)) ^ low[2:]) * np.uint32(0x9E3779B1) >> np.uint32(25) if len(low) > 2 else low[:0]
