@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -103,12 +101,3 @@ def parse_since(text: str) -> float:
     except ValueError:
         at = datetime.datetime.fromisoformat(text)
         return (at if at.tzinfo else at.replace(tzinfo=datetime.timezone.utc)).timestamp()
-
-
-def meta_number(text: str | None, default: float | None = None) -> float | None:
-    """A number from a key-value store of JSON texts; `default` if it is none."""
-    try:
-        value = json.loads(text) if text is not None else default
-    except ValueError:
-        return default
-    return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else default

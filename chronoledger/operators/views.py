@@ -86,11 +86,23 @@ def task_board(events: DataFrame) -> DataFrame:
 def terminal_detail(event_type: Column, kind: Column, block_kind: Column) -> Column:
     """A task's terminal with the transition behind it."""
     return (
-        F.when((event_type == "task.blocked") & (F.coalesce(block_kind, F.lit("")) != ""), F.concat(event_type, F.lit("  ("), kind, F.lit(", block_kind="), block_kind, F.lit(")")))
+        F.when((event_type == "task.blocked") & (F.coalesce(block_kind, F.lit("")) != ""), F.concat(event_type, F.lit("  ("), F.coalesce(kind, F.lit("None")), F.lit(", block_kind="), block_kind, F.lit(")")))
         .when(F.coalesce(kind, F.lit("")) != "", F.concat(event_type, F.lit("  ("), kind, F.lit(")"))).otherwise(event_type)
     )
 
 
+def terminal_lines(events: DataFrame) -> DataFrame:
+    """(board, task_id, ord, line) of tasks' ends, after the lines of task_lines: a
+    head and a line for each end in stream order.  events: with kind and block_kind."""
+    ends = events.filter(F.col("event_type").isin(*TASK_TERMINALS)).select(
+        F.coalesce(F.nullif("board", F.lit("")), F.lit("-")).alias("board"), F.coalesce(F.nullif("task_id", F.lit("")), F.lit("-")).alias("task_id"), F.coalesce("producer_sequence", F.lit(0)).cast("long").alias("at"),
+        terminal_detail(F.col("event_type"), F.col("kind"), F.col("block_kind")).alias("detail"),
+    )
+    place = lambda part, run: F.struct(F.lit(part).alias("part"), F.struct(F.lit(0.0).alias("t"), run.alias("run")).alias("at")).alias("ord")
+    head = ends.select("board", "task_id").distinct().select("board", "task_id", place(3, F.lit(0).cast("long")), F.lit("    terminals:").alias("line"))
+    return head.unionByName(ends.select("board", "task_id", place(4, F.col("at")), F.concat(F.lit("      "), "detail").alias("line")))
+
+
 def tree_lines(nodes: DataFrame) -> DataFrame:
     """(root, id, depth, line) of sessions (root, id, depth, kind, status,
     input_tokens, output_tokens, cost, subtree_input, subtree_output,

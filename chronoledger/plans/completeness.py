@@ -180,6 +180,21 @@ def task_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.task_lines(views.task_board(e), views.task_attempts(e)).groupBy("task_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("board", "ord", "line"))), lambda x: x["line"])).alias("text"))
 
 
+def task_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of tasks' ends."""
+    n = F.col("run_id") % 5
+    e = _task_events(spark, sf_dir).withColumn("kind", F.when(n > 0, F.concat(F.lit("k"), n))).withColumn("block_kind", F.when(n > 2, "needs"))
+    lines = views.terminal_lines(e)
+    return lines.groupBy("board", "task_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])).alias("text"))
+
+
+def terminal_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of tasks with the transition behind each."""
+    k = F.col("s_suppkey")
+    event, kind = _pick(("task.blocked", "task.completed", "task.failed_terminal"), k), F.when(k % 4 > 0, _pick(("blocked", "gave_up", ""), k + 1))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), views.terminal_detail(event, kind, F.when(k % 5 > 0, F.concat(F.lit("b"), k % 3))).alias("detail"))
+
+
 def finding_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A finding of each shape for every supplier."""
     k = F.col("s_suppkey")
@@ -237,7 +252,7 @@ def job_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    tree_paths, job_misses,
+    tree_paths, job_misses, terminal_details, task_ends,
     coverage_sessions, coverage_messages, coverage_usage, coverage_executions, coverage_tasks, coverage_runs, coverage_kinds, cron_jobs_missed, cron_expressions, task_status, task_text, finding_shapes, tree_below,
 )}
 
@@ -279,6 +294,11 @@ _JOBS = f"""fr AS (SELECT o_custkey AS j, epoch_us(o_orderdate) / 1e6 AS t FROM
         UNION ALL SELECT j, 'cron', min(instant), count(*) FROM isl WHERE NOT hit AND instant <= {NOW_ORDERS} - 432000 GROUP BY j, island)"""
 
 ORACLES = {
+    "terminal_details": """WITH t AS (SELECT s_suppkey AS k, ['task.blocked', 'task.completed', 'task.failed_terminal'][s_suppkey % 3 + 1] AS e, CASE WHEN s_suppkey % 4 > 0 THEN ['blocked', 'gave_up', ''][(s_suppkey + 1) % 3 + 1] END AS kind FROM supplier)
+        SELECT k AS id, CASE WHEN e = 'task.blocked' AND k % 5 > 0 THEN e || '  (' || coalesce(kind, 'None') || ', block_kind=b' || (k % 3) || ')' WHEN kind <> '' THEN e || '  (' || kind || ')' ELSE e END AS detail FROM t""",
+    "task_ends": f"""WITH {_TASK}, t AS (SELECT board, task_id, seq, '      ' || kind || CASE WHEN kind = 'task.blocked' AND run_id % 5 > 2 THEN '  (k' || (run_id % 5) || ', block_kind=needs)' WHEN run_id % 5 > 0 THEN '  (k' || (run_id % 5) || ')' ELSE '' END AS line FROM e
+            WHERE kind IN ('task.completed', 'task.blocked', 'task.failed_terminal'))
+        SELECT board, task_id, '    terminals:' || chr(10) || string_agg(line, chr(10) ORDER BY seq) AS text FROM t GROUP BY 1, 2""",
     "tree_paths": """WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer UNION ALL VALUES (-1, -2), (-2, -3), (-3, -1), (-9, -77), (-10, -9)),
         p AS (SELECT id, CAST(id AS VARCHAR) AS path FROM n WHERE parent IS NULL OR parent NOT IN (SELECT id FROM n) UNION ALL SELECT n.id, p.path || '/' || n.id FROM p JOIN n ON n.parent = p.id) SELECT id, path FROM p""",
     "job_misses": f"WITH RECURSIVE {_INTERVAL}, {_JOBS} SELECT job_id, kind, CAST(floor(first) AS BIGINT) AS first, missed, missed > 1 AS catch_up FROM told WHERE first >= 800000000",

@@ -14,6 +14,7 @@ from ..operators import ledger as book
 from ..operators import mappers, retention, security, settings, shipping, state, status, store
 from ..operators.lineage import shared_dir
 from ..sources import scans
+from ..streaming.sink import source_counts
 from .activity import _WINDOWS, _windows
 from .driver import INSTALLATION, LEDGER_SQL, all_events, epoch, ledger, table
 from .knowledge import SECRET, _FILES, _sized
@@ -435,7 +436,21 @@ def delegation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.bounded(o, "id", high - high // 4, 32, high).select("id")
 
 
+def appended_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a pass appended, by type: two of three events were there before."""
+    e = ledger(spark, sf_dir)
+    return source_counts(e.filter("event_id % 3 > 0"), e)
+
+
+def tidy_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as they come, with 0 for what is none."""
+    k = F.col("event_id")
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("1.5", " 7 ", "x", "", "-2e3", None)]), (k % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").groupBy(raw.alias("raw"), S.tidy(raw).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
+    appended_counts, tidy_numbers,
     knowledge_versions, blob_lookup, delegation_scan, spool_read, settings_resolved, status_report, drift_grace, migrated_versions, ledger_since, gateway_absent, execution_rows, scan_budget,
     ledger_append_pruned, append_rejects, retention_tombstones, companion_findings, batch_limit, ship_acknowledged, ship_outcome, retry_classes, key_batches, poll_scan, spool_tail, spool_cursors, heartbeat,
     runtime_stamps, config_home_mode, meta_state, meta_deleted, windows_state, horizons, memory_states, version_lookups, first_seen, secret_rules, suppressions, hook_kinds, chunk_ranges,
@@ -463,6 +478,8 @@ def _mac(message: str) -> str:
 _CONFIG_MODES = ", ".join(f"'{m}'" for m in CONFIGS.values())
 
 ORACLES = {
+    "appended_counts": f"WITH {LEDGER_SQL} SELECT event_type, count(*) AS events FROM ledger WHERE event_id % 3 = 0 GROUP BY 1",
+    "tidy_numbers": """SELECT ['1.5', ' 7 ', 'x', '', '-2e3', NULL][event_id % 6 + 1] AS raw, CAST(CASE event_id % 6 WHEN 0 THEN 1.5 WHEN 1 THEN 7 WHEN 4 THEN -2000 ELSE 0 END AS DOUBLE) AS value, count(*) AS n FROM events GROUP BY ALL""",
     "knowledge_versions": f"""WITH {LEDGER_SQL}, c AS (SELECT session_id AS s, event_id AS k, event_type = 'invocation.completed' AS gone, CASE WHEN event_id % 6 = 0 THEN 150 ELSE 5 * (event_id % 2 + 1) END AS size FROM ledger
             WHERE event_type IN ('tool.call_completed', 'invocation.completed') AND event_id % 9 > 0 AND event_id % 7 > 0),
         t AS (SELECT s, k, CASE WHEN gone THEN 0 ELSE size END AS state FROM c), d AS (SELECT *, lag(state) OVER (PARTITION BY s ORDER BY k) AS before FROM t),

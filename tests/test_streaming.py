@@ -138,6 +138,21 @@ def test_what_closes_was_open_since(spark):
     assert fed(OpenSubjects(), "s", batches, ["subject", "at", "open"]) == [("s", 1.0, 5.0), ("s", 8.0, 9.0)]
 
 
+def test_spool_files_stream_into_the_ledger(spark, tmp_path):
+    """Text files as they appear, broken lines among them, through the readers into the sink."""
+    from chronoledger.sources import scans
+
+    (tmp_path / "in").mkdir()
+    for f in range(2):
+        rows = [json.dumps(x) for x in lines(60)[f * 30 : f * 30 + 30]] + ["{broken", "", "[1]"]
+        (tmp_path / "in" / f"{f}.jsonl").write_text("\n".join(rows) + "\n")
+    stream = scans.spool(spark, str(tmp_path / "in"), streaming=True)
+    sink = LedgerSink(spark, str(tmp_path / "ledger"), SCHEMA)
+    sink.start(scans.json_objects(stream, SCHEMA).select("object.*"), str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert sorted(r.dedup_key for r in sink.ledger().collect()) == sorted(f"k{k}" for k in range(60))
+    assert scans.spool(spark, str(tmp_path / "in")).select("file").distinct().count() == 2
+
+
 def test_hook_lines(spark):
     text = [
         '{"event_type": "session:start", "captured_at": 5, "context": {"session_id": "s", "session_key": "k", "platform": "chat"}}', "", "{broken", '{"event_type": "other"}', '"text"',
