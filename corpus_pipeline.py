@@ -54,10 +54,11 @@ def tokenized_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     import public_tokenizers as vocab
 
     path = vocab.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode_texts(docs.select("doc_id", "source", "text"), path, vocab.PATTERN, offsets=False).drop("text")
-    ids = bpe.decode_tokens(ids, path, vocab.PATTERN).withColumn("decoded_sha256", F.sha2("decoded_bytes", 256)).drop("decoded_bytes", "decoded_text")
     placed = mixing.places(docs, MIX_WEIGHTS, MIX_BLOCK_BYTES, MIX_OTHER).withColumnRenamed("doc_id", "_placed")
-    return ids.join(placed, F.col("doc_id").eqNullSafe(F.col("_placed"))).select("doc_id", "source", "slot", "start_byte", "token_ids", "decoded_sha256")
+    # Texts join their places before they are tokens, which are longer.
+    texts = docs.select("doc_id", "source", "text").join(placed, F.col("doc_id").eqNullSafe(F.col("_placed"))).select("doc_id", "source", "slot", "start_byte", "text")
+    ids = bpe.decode_tokens(bpe.encode_texts(texts, path, vocab.PATTERN, offsets=False).drop("text"), path, vocab.PATTERN)
+    return ids.select("doc_id", "source", "slot", "start_byte", "token_ids", F.sha2("decoded_bytes", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
