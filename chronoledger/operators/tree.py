@@ -23,13 +23,20 @@ def _known_up(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.nullif("parent", F.lit("")).alias("up") if empty else F.col("parent").alias("up"))
 
 
+def _doubled(state: DataFrame) -> DataFrame:
+    """Walks (id, top, next) taken on by those of the nodes where they stand."""
+    other = state.select(F.col("id").alias("_n"), F.col("top").alias("_top"), F.col("next").alias("_next"))
+    onward = state.join(other, F.col("next") == F.col("_n"), "left")
+    return onward.select("id", F.when(F.col("next").isNull(), F.col("top")).otherwise(F.coalesce("_top", "top")).alias("top"), F.col("_next").alias("next"))
+
+
 def _walks(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ended, endless): (id, top) of the nodes whose walk up ends, at the
     farthest id that is named; and (id, up) of those on or below a circle.
 
-    A round doubles the reach of every walk that is still open.  If no walk ends
-    in a round, none ever will: in a tree as deep as the reach some node is just
-    as deep as that.
+    A round doubles the reach of every walk that is still open, twice.  If no walk
+    ends in a round, none ever will: in a tree as deep as the reach some node is
+    just as deep as that.
     """
     state = cut(_known_up(nodes).select("id", F.coalesce("up", "id").alias("top"), F.col("up").alias("next")))
     left = -1
@@ -38,9 +45,7 @@ def _walks(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if still in (0, left):
             break
         left = still
-        other = state.select(F.col("id").alias("_n"), F.col("top").alias("_top"), F.col("next").alias("_next"))
-        onward = state.join(other, F.col("next") == F.col("_n"), "left")
-        then = cut(onward.select("id", F.when(F.col("next").isNull(), F.col("top")).otherwise(F.coalesce("_top", "top")).alias("top"), F.col("_next").alias("next")))
+        then = cut(_doubled(_doubled(state)))
         drop(state)
         state = then
     ended = state.filter("next is null").select("id", "top")
