@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType, StructType
 from pyspark.sql.window import Window
@@ -20,6 +22,10 @@ BUCKET_ROWS = 4_096
 #: the same join runs as a shuffle.
 BROADCAST_IDS = 4_000_000
 
+#: Edges of a graph that one task joins up (4 MB, a second); more are contracted
+#: by rounds over all executors until they are as few.
+TASK_EDGES = 1 << 18
+
 
 class Stage:
     """Tables written to the shared folder to cut lineage.
@@ -120,22 +126,23 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     every node that has an edge.  Each round hooks every node to its smallest
     neighbour, jumps pointers once and contracts the edges; a node's edges are
     only aggregated by min, so a hub of any degree is pre-aggregated before its
-    shuffle.  Edges at least halve in nodes each round.
+    shuffle.  Edges at least halve in nodes each round.  What is left of them, or
+    all, if they are no more than TASK_EDGES, is joined up in one task: a round is
+    a dozen plans, of each of which the driver keeps something.
     """
     live = stage.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     labels = None
     while True:
-        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-        # A node hooks downwards only: its target is smaller, so there is no cycle.
-        step = stage.write(hooks.select("node", F.least("node", "near").alias("root")))
-        step = _jumped(step, stage)
-        old = labels
+        last = live.limit(TASK_EDGES + 1).count() <= TASK_EDGES
+        old, step = labels, stage.write(_joined_up(live)) if last else _hooked(live, stage)
         if old is None:
             labels = step
         else:
             moved = old.join(step.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
             labels = stage.write(moved.select("node", F.coalesce("to", "root").alias("root")))
+        if last:
+            stage.drop(live, *([] if old is None else [old, step]))
+            return labels
         roots = step.select("node", "root")
         a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
         contracted = (
@@ -145,9 +152,37 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
         then = stage.write(contracted)
         stage.drop(live, *([] if old is None else [old, step]))
         live = then
-        if live.isEmpty():
-            stage.drop(live)
-            return labels
+
+
+def _joined_up(edges: DataFrame) -> DataFrame:
+    """(node, root) of a bounded table of edges, by union-find in one task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+        if not parts:
+            return
+        pairs = np.concatenate([np.concatenate(side) for side in zip(*parts, strict=True)])
+        nodes, at = np.unique(pairs, return_inverse=True)  # ascending, so the least place is the least node
+        up = list(range(len(nodes)))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for x, y in at.reshape(2, -1).T.tolist():
+            x, y = top(x), top(y)
+            up[max(x, y)] = min(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[[top(x) for x in range(len(nodes))]])], names=["node", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def _hooked(live: DataFrame, stage: Stage) -> DataFrame:
+    """(node, root): every node of `live` with the end of its smallest neighbours."""
+    both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+    # A node hooks downwards only: its target is smaller, so there is no cycle.
+    return _jumped(stage.write(hooks.select("node", F.least("node", "near").alias("root"))), stage)
 
 
 def _jumped(step: DataFrame, stage: Stage) -> DataFrame:
