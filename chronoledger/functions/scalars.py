@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -14,6 +15,13 @@ def _col(x: ColumnLike) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once a row, however often it is used.
+    Nothing else does that inside functions over arrays and branches, where each
+    use is an evaluation of its own."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def to_epoch(value: ColumnLike) -> Column:
     """Epoch seconds (double) of a number or an ISO 8601 text with offset; null
     for null and for text that is neither.  Naive times are UTC."""

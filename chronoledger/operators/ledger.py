@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import bound
 from ..schema import CONTENT_COMPANIONS, EVENT_TYPES, FIELDS, SCHEMA_VERSION
 
 #: Arrivals that one bucket of the numbering covers.
@@ -14,30 +15,42 @@ BUCKET = 100_000
 def violations(envelope: Column) -> Column:
     """What is wrong with an envelope (JSON text), as an array of messages in
     the order of the checks; empty for a valid one."""
-    v = F.try_parse_json(envelope)
-    kind_of = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    return bound(F.struct(envelope.alias("text"), F.try_parse_json(envelope).alias("v")), _violations)
+
+
+def _violations(given: Column) -> Column:
+    """violations of (text, v: the text parsed).  Text, kinds and names are read
+    once each, then compared."""
+    get = lambda name, kind: F.try_variant_get(given["v"], f"$.{name}", kind)
+    kind_of = lambda name: F.schema_of_variant(get(name, "variant"))
+    told = F.struct(
+        *[kind_of(name).alias(name) for name, _, _ in FIELDS], kind_of("payload.event_type").alias("event_kind"), get("payload.event_type", "string").alias("event"),
+        F.get_json_object(given["text"], "$.schema_version").alias("version"), F.coalesce(F.json_object_keys(given["text"]), F.array().cast("array<string>")).alias("names"),
+    )
+    return F.when(given["v"].isNull() | ~F.schema_of_variant(given["v"]).startswith("OBJECT"), F.array(F.lit("no object"))).otherwise(bound(told, _broken))
+
+
+def _broken(told: Column) -> Column:
+    """What is wrong with an object of which the kind of each field is told."""
     fits = {
         "string": lambda k: k == "STRING", "integer": lambda k: k == "BIGINT", "boolean": lambda k: k == "BOOLEAN", "object": lambda k: k.startswith("OBJECT"),
         "number": lambda k: (k == "BIGINT") | k.startswith("DECIMAL") | k.isin("DOUBLE", "FLOAT"),
     }
     checks = []
     for name, kind, required in FIELDS:
-        k = kind_of(name)
+        k = told[name]
         absent = k.isNull() | (k == "VOID")
         checks.append(F.when(absent, F.lit(f"missing {name}") if required else F.lit(None)).when(~fits[kind](k), F.lit(f"{name} is no {kind}")))
-    field = lambda name: F.get_json_object(envelope, f"$.{name}")
-    checks.append(F.when(field("schema_version") != SCHEMA_VERSION, "unsupported schema_version"))
+    checks.append(F.when(told["version"] != SCHEMA_VERSION, "unsupported schema_version"))
     known = F.array(*[F.lit(name) for name, _, _ in FIELDS])
-    extra = F.array_sort(F.array_except(F.coalesce(F.json_object_keys(envelope), F.array().cast("array<string>")), known))
-    checks.append(F.when(F.size(extra) > 0, F.concat(F.lit("unknown fields: "), F.array_join(extra, ", "))))
-    has = field("content_ciphertext").isNotNull()
+    extra = F.array_sort(F.array_except(told["names"], known))
+    checks.append(bound(extra, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("unknown fields: "), F.array_join(x, ", ")))))
+    given = lambda name: F.coalesce(told[name] != "VOID", F.lit(False))
+    has = given("content_ciphertext")
     for name in CONTENT_COMPANIONS:
-        checks.append(F.when(has & field(name).isNull(), f"content without {name}").when(~has & field(name).isNotNull(), f"{name} without content"))
-    event = field("payload.event_type")
-    event_kind = kind_of("payload.event_type")
-    checks.append(F.when(event_kind.isNull() | (event_kind != "STRING"), "event_type is no string").when(~event.isin(*EVENT_TYPES), "unknown event_type"))
-    found = F.filter(F.array(*checks), lambda x: x.isNotNull())
-    return F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), F.array(F.lit("no object"))).otherwise(found)
+        checks.append(F.when(has & ~given(name), f"content without {name}").when(~has & given(name), f"{name} without content"))
+    checks.append(F.when(told["event_kind"].isNull() | (told["event_kind"] != "STRING"), "event_type is no string").when(~told["event"].isin(*EVENT_TYPES), "unknown event_type"))
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
 def fresh_records(batch: DataFrame, *targets: DataFrame) -> DataFrame:
