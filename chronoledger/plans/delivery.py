@@ -164,7 +164,7 @@ def spool_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/spool-{uuid.uuid4().hex}"
     line = F.to_json(F.struct(F.col("event_type"), F.col("event_id").alias("n"), F.lit("é").alias("text")))
     table(spark, sf_dir, "events").select(line.alias("value")).repartition(3).write.text(path)
-    lines = scans.tail_lines(scans.spool_files(spark, path, r"^(part)"))
+    lines = scans.spool_lines(spark, path, r"^(part)")
     kept = scans.json_objects(lines, "event_type string, n long")
     return kept.select("generation", F.col("object.n").alias("n"), F.col("object.event_type").alias("event_type"), (F.col("until") - F.col("offset")).cast("long").alias("bytes"))
 

@@ -93,6 +93,30 @@ def spool_files(spark: SparkSession, path: str, generation: str = r"") -> DataFr
     return files.select(name.alias("file"), (F.regexp_extract(name, generation, 1) if generation else F.lit("")).alias("generation"), F.col("value").alias("content"))
 
 
+def spool_lines(spark: SparkSession, path: str, generation: str = r"") -> DataFrame:
+    """Complete lines of the files below `path`, as tail_lines gives them: (file,
+    generation, offset, until, value).
+
+    Files are read in the parts that Spark splits them into, of any size: offsets
+    are the running sums of a part's own lines and, for its first, the bytes of
+    the parts before it, of which a table has one row each.  Names are told apart
+    by their folders.  Files must not be compressed.
+    """
+    meta = lambda name: F.col(f"_metadata.file_{name}")
+    name = meta("name")
+    read = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true").load(path)
+    lines = read.select(
+        meta("path").alias("_path"), meta("block_start").alias("_part"), meta("size").alias("_size"), F.monotonically_increasing_id().alias("_i"), name.alias("file"),
+        (F.regexp_extract(name, generation, 1) if generation else F.lit("")).alias("generation"), (F.octet_length("value") + 1).cast("long").alias("_n"), "value",
+    )
+    earlier = Window.partitionBy("_path").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = lines.groupBy("_path", "_part").agg(F.sum("_n").alias("_sum")).select("_path", "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_path", "_part").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.join(F.broadcast(base), ["_path", "_part"]).withColumn("until", F.col("_base") + F.sum("_n").over(within))
+    # A last line without a line feed would end one byte behind its file.
+    return placed.filter("until <= _size").select("file", "generation", (F.col("until") - F.col("_n")).alias("offset"), "until", "value")
+
+
 def tail_lines(files: DataFrame, cursors: DataFrame | None = None) -> DataFrame:
     """New complete lines of files that grow: (file, generation, offset, until,
     value), the offset in bytes being where a line starts.
@@ -109,7 +133,9 @@ def tail_lines(files: DataFrame, cursors: DataFrame | None = None) -> DataFrame:
         known = known.join(last, (F.col("file") == F.col("_f")) & (F.col("generation") == F.col("_g")) & (F.col("_o") <= F.col("size")), "left")
     else:
         known = known.withColumn("_o", F.lit(0).cast("long"))
-    lines = known.select("file", "generation", F.coalesce("_o", F.lit(0)).alias("_from"), F.posexplode(F.split("content", "\n", -1)).alias("_i", "value"), F.size(F.split("content", "\n", -1)).alias("_n")).filter("_i < _n - 1")
+    # The split is an input of posexplode only: beside it, it would be one for each line.
+    whole = S.bound(F.split("content", "\n", -1), lambda parts: F.slice(parts, F.lit(1), F.size(parts) - 1))
+    lines = known.select("file", "generation", F.coalesce("_o", F.lit(0)).alias("_from"), F.posexplode(whole).alias("_i", "value"))
     upto = Window.partitionBy("file", "generation").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     placed = lines.withColumn("until", F.sum(F.octet_length("value") + 1).over(upto).cast("long")).withColumn("offset", F.col("until") - F.octet_length("value") - 1)
     return placed.filter(F.col("offset") >= F.col("_from")).select("file", "generation", "offset", "until", "value")
