@@ -14,6 +14,9 @@ from .mappers import payload_of
 #: Sequences that one bucket of the gap scan covers.
 GAP_BUCKET = 1_000_000
 
+#: Sequences of one gap that are told at a time.
+GAP_PIECE = 100_000
+
 FINDING = ("event_type", "occurred_at", "correlation_id", "session_id", "partial", "payload", "dedup_key")
 
 
@@ -44,9 +47,9 @@ def stored_sequences(retained: DataFrame, pruned: DataFrame, through: int | None
     return (both if through is None else both.filter(F.col("seq") <= through)).distinct()
 
 
-def sequence_gaps(stored: DataFrame, high_water: DataFrame, limit: int, bucket: int = GAP_BUCKET) -> DataFrame:
-    """The first `limit` missing sequences from 1 to the high water, each with
-    its neighbours: (installation_id, missing_sequence, prev_sequence,
+def sequence_gaps(stored: DataFrame, high_water: DataFrame, limit: int | None = None, bucket: int = GAP_BUCKET, piece: int = GAP_PIECE) -> DataFrame:
+    """The missing sequences from 1 to the high water, all or the first `limit`,
+    each with its neighbours: (installation_id, missing_sequence, prev_sequence,
     next_sequence).
 
     stored: (installation_id, seq) distinct.  high_water: (installation_id,
@@ -61,8 +64,13 @@ def sequence_gaps(stored: DataFrame, high_water: DataFrame, limit: int, bucket:
     ends = rows.groupBy("installation_id", "b").agg(F.max("seq").alias("last")).select("installation_id", "b", F.coalesce(F.max("last").over(earlier), F.lit(0)).alias("before"))
     within = Window.partitionBy("installation_id", "b").orderBy("seq")
     near = rows.join(ends, ["installation_id", "b"]).withColumn("prev", F.coalesce(F.lag("seq").over(within), F.col("before"))).filter("seq > prev + 1")
-    # No gap yields more than `limit` rows, so a damaged high water stays bounded.
-    missing = near.select("installation_id", F.col("prev").alias("prev_sequence"), F.col("seq").alias("next_sequence"), F.explode(F.sequence(F.col("prev") + 1, F.least(F.col("seq") - 1, F.col("prev") + limit))).alias("missing_sequence"))
+    gaps = near.select("installation_id", F.col("prev").alias("prev_sequence"), F.col("seq").alias("next_sequence"))
+    # Of a long gap the pieces come first, so no row holds all of its sequences.
+    until = F.col("next_sequence") - 1 if limit is None else F.least(F.col("next_sequence") - 1, F.col("prev_sequence") + limit)
+    pieces = gaps.select("*", until.alias("_until"), F.explode(F.sequence(F.col("prev_sequence") + 1, until, F.lit(piece).cast("long"))).alias("_from"))
+    missing = pieces.select("installation_id", "prev_sequence", "next_sequence", F.explode(F.sequence(F.col("_from"), F.least("_until", F.col("_from") + piece - 1))).alias("missing_sequence"))
+    if limit is None:
+        return missing.select("installation_id", "missing_sequence", "prev_sequence", "next_sequence")
     return missing.orderBy("missing_sequence", "installation_id").limit(limit).select("installation_id", "missing_sequence", "prev_sequence", "next_sequence")
 
 

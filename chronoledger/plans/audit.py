@@ -16,20 +16,21 @@ GAP_LIMIT = 10_000
 TIMEOUT = 6 * 3600.0
 
 
-def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gaps(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     events = ledger(spark, sf_dir)
-    return detect.sequence_gaps(detect.stored_sequences(events, events.limit(0)), high_water(spark, sf_dir), GAP_LIMIT)
+    return detect.sequence_gaps(detect.stored_sequences(events, events.limit(0)), high_water(spark, sf_dir), limit)
 
 
 def seq_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(spark, sf_dir).select("missing_sequence", "prev_sequence", "next_sequence")
+    """The first gaps only, as a page of them is shown."""
+    return _gaps(spark, sf_dir, GAP_LIMIT).select("missing_sequence", "prev_sequence", "next_sequence")
 
 
 def pruned_not_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second of the missing sequences is on record as pruned."""
     events = ledger(spark, sf_dir)
     pruned = table(spark, sf_dir, "events").filter("event_id % 194 = 13").select(F.lit(INSTALLATION).alias("installation_id"), (F.col("event_id") + 1).alias("producer_sequence"))
-    return detect.sequence_gaps(detect.stored_sequences(events, pruned), high_water(spark, sf_dir), GAP_LIMIT).select("missing_sequence", "prev_sequence", "next_sequence")
+    return detect.sequence_gaps(detect.stored_sequences(events, pruned), high_water(spark, sf_dir)).select("missing_sequence", "prev_sequence", "next_sequence")
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
