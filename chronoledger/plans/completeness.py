@@ -159,14 +159,17 @@ _TASK_KINDS = ("task.created", "task.claimed", "task.blocked", "task.attempt_end
 
 
 def _task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as task events: a part is a task, an order a run."""
+    """Line items as task events: a part is a task, an order a run.  Of items of
+    one order and number the first row of the table counts."""
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
     kind = _pick(_TASK_KINDS, o + n)
-    return table(spark, sf_dir, "lineitem").select(
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_partkey", place).alias("l_partkey"))
+    return items.select(
         F.lit("i").alias("installation_id"), (o * 10 + n).alias("producer_sequence"), (F.lit(START) + o).alias("occurred_at"), kind.alias("event_type"), F.when(F.col("l_partkey") % 5 > 0, "main").alias("board"), F.col("l_partkey").cast("string").alias("task_id"), o.alias("run_id"),
         F.when(n % 3 > 0, F.concat(F.lit("st"), n)).alias("status"), F.when(kind.isin("task.claimed", "task.attempt_ended"), F.concat(F.lit("h"), o % 4)).alias("holder"), F.when(kind == "task.claimed", (o + 100).cast("string")).alias("claim_expires"),
         F.when(kind == "task.attempt_ended", "completed").alias("run_outcome"), F.when(kind == "task.attempt_ended", "success").alias("attempt_disposition"),
-    ).dropDuplicates(["producer_sequence"])
+    )
 
 
 def task_status(spark: SparkSession, sf_dir: str) -> DataFrame:
