@@ -7,13 +7,15 @@ from pyspark.sql.window import Window
 
 
 def health_states(passes: DataFrame) -> DataFrame:
-    """(source, last_success, last_attempt, failures): failures in a row since
-    the last success.  passes: (source, at, ok)."""
-    w = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    islands = passes.withColumn("island", F.sum(F.col("ok").cast("int")).over(w))
-    newest = islands.groupBy("source").agg(F.max("island").alias("island"), F.max(F.when(F.col("ok"), F.col("at"))).alias("last_success"), F.max("at").alias("last_attempt"))
-    failed = islands.filter("not ok").groupBy("source", "island").agg(F.count(F.lit(1)).alias("failures"))
-    return newest.join(failed, ["source", "island"], "left").select("source", "last_success", "last_attempt", F.coalesce("failures", F.lit(0)).cast("long").alias("failures"))
+    """(source, last_success, last_attempt, failures): failures since the last
+    success; one at its very time is not after it.  passes: (source, at, ok).
+
+    Passes are read twice and only counted, so a source may have any number.
+    """
+    last = passes.groupBy("source").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("last_success"), F.max("at").alias("last_attempt"))
+    later = passes.filter("not ok").join(F.broadcast(last.select(F.col("source").alias("_s"), F.col("last_success").alias("_good"))), F.col("source").eqNullSafe(F.col("_s"))).filter("_good is null or at > _good")
+    failed = later.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("failures"))
+    return last.join(failed, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "last_success", "last_attempt", F.coalesce("failures", F.lit(0)).cast("long").alias("failures"))
 
 
 def verdict(readable: Column, failures: Column, last_success: Column, now: float, stale_after: float) -> Column:
