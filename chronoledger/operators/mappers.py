@@ -151,6 +151,9 @@ def board_records(events: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataF
     return moved.unionByName(ended)
 
 
+#: Offsets that one bucket of the search for a session's start covers.
+HOOK_BUCKET = 100_000
+
 HOOK_SCHEMA = "event_type string, captured_at double, context struct<session_id:string,session_key:string,platform:string,user_id:string,chat_type:string,thread_id:string,chat_id:string,platforms:array<string>>"
 
 
@@ -159,25 +162,34 @@ def hook_records(lines: DataFrame, installation: str, generation: str, column: s
     other types and lines that are no JSON objects are dropped.
 
     An end takes the invocation of the start pending in its session; a session
-    end finds its session by the latest start before it with its key.
+    end finds its session by the latest start before it with its key.  Offsets
+    are worked in buckets, each with the last start of the ones before it, so a
+    key may have any number of lines.
     """
     from .attribution import pair_starts
+    from .lineage import cut
     from ..sources.scans import json_objects
     from pyspark.sql.window import Window
 
-    parsed = json_objects(lines, HOOK_SCHEMA, column).select("offset", "object.*").select("offset", "event_type", "captured_at", "context.*").withColumn("hook", F.col("event_type"))
+    # Written once, as its rows are wanted in several parts.
+    parsed = cut(json_objects(lines, HOOK_SCHEMA, column).select("offset", "object.*").select("offset", "event_type", "captured_at", "context.*")).withColumn("hook", F.col("event_type"))
     kinds = {"gateway:startup": "runtime.gateway_started", "session:start": "session.created", "session:end": "session.ended", "session:reset": "session.ended", "agent:start": "invocation.started", "agent:end": "invocation.completed"}
     known = parsed.withColumn("kind", lookup(kinds, F.col("hook"))).filter("kind is not null")
-    by_key = Window.partitionBy("session_key").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    started = F.when((F.col("hook") == "session:start") & (F.coalesce(F.col("session_id"), F.lit("")) != ""), F.col("session_id"))
     ending = F.col("hook").isin("session:end", "session:reset")
-    known = known.withColumn("last_started", F.when(F.coalesce(F.col("session_key"), F.lit("")) != "", F.last(started, ignorenulls=True).over(by_key)))
-    known = known.withColumn("session", F.when(ending, F.col("last_started")).otherwise(F.col("session_id")))
     agent = F.col("kind").isin("invocation.started", "invocation.completed")
-    paired = pair_starts(known.filter(agent), "session_id", "offset", F.col("kind") == "invocation.started")
+    # Only ends of sessions look back, and only to starts of sessions with their key.
+    talks = known.filter(~agent).withColumn("_b", F.expr(f"offset div {HOOK_BUCKET}"))
+    started = F.when((F.col("hook") == "session:start") & (F.coalesce(F.col("session_id"), F.lit("")) != ""), F.col("session_id"))
+    last_of = talks.filter(started.isNotNull()).groupBy("session_key", "_b").agg(F.max_by(started, "offset").alias("_started"))
+    upto = Window.partitionBy("session_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("session_key", "_b").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    base = talks.select("session_key", "_b").distinct().join(last_of, ["session_key", "_b"], "left").withColumn("_before", F.last("_started", ignorenulls=True).over(upto)).drop("_started")
+    talks = talks.withColumn("last_started", F.last(started, ignorenulls=True).over(within)).join(base, ["session_key", "_b"], "left")
+    talks = talks.withColumn("session", F.when(ending, F.when(F.coalesce(F.col("session_key"), F.lit("")) != "", F.coalesce("last_started", "_before"))).otherwise(F.col("session_id"))).drop("_b", "_before", "last_started")
+    paired = pair_starts(known.filter(agent).withColumn("session", F.col("session_id")), "session_id", "offset", F.col("kind") == "invocation.started")
     at = F.col("offset").cast("string")
     named = paired.withColumn("invocation_id", F.when(F.col("session_id").isNull(), F.concat(F.lit("unknown:hook:"), at)).otherwise(F.concat(F.col("session_id"), F.lit(":hook:"), F.coalesce(F.col("paired_with").cast("string"), at))))
-    every = named.drop("paired_with").unionByName(known.filter(~agent).withColumn("invocation_id", F.lit(None).cast("string")))
+    every = named.drop("paired_with").unionByName(talks.withColumn("invocation_id", F.lit(None).cast("string")))
     gateway, start, session_start = F.col("hook") == "gateway:startup", F.col("hook") == "agent:start", F.col("hook") == "session:start"
     body = payload_of(
         event_type=F.col("kind"), platforms=F.when(gateway, F.col("platforms")), platform=F.when(~gateway, F.col("platform")), surface=F.when(session_start, F.nullif(F.col("platform"), F.lit(""))),

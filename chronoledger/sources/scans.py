@@ -153,8 +153,8 @@ def tail_cursors(files: DataFrame, lines: DataFrame, cursors: DataFrame | None =
 
 def json_objects(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Rows of `lines` that are JSON objects, parsed by `schema` as `object`."""
-    parsed = lines.withColumn("object", F.from_json(F.when(F.trim(column).startswith("{") & F.try_parse_json(column).isNotNull(), F.col(column)), schema))
-    return parsed.filter("object is not null")
+    # The condition is on the text: one on the object would parse it twice.
+    return lines.filter(F.trim(column).startswith("{") & F.try_parse_json(column).isNotNull()).withColumn("object", F.from_json(column, schema))
 
 
 def failure_lines(lines: DataFrame, column: str = "value") -> DataFrame:
