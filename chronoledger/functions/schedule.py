@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, functions as F
 
+from .scalars import bound
+
 BOUNDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 6))
 
 
@@ -72,28 +76,34 @@ def _allowed(text: Column, low: int, high: int) -> Column:
     """Sorted values that a field (a column of text) allows; null if it is no
     valid one."""
     def values(item: Column) -> Column:
-        span, step = F.split_part(item, F.lit("/"), F.lit(1)), F.split_part(item, F.lit("/"), F.lit(2))
-        every = F.when(F.contains(item, F.lit("/")), step.try_cast("int")).otherwise(F.lit(1))
+        return bound(F.split_part(item, F.lit("/"), F.lit(1)), lambda span: bound(spanned(item, span), lambda r: F.when(good(r), F.sequence(r["first"], r["last"], r["every"]))))
+
+    def spanned(item: Column, span: Column) -> Column:
+        every = F.when(F.contains(item, F.lit("/")), F.split_part(item, F.lit("/"), F.lit(2)).try_cast("int")).otherwise(F.lit(1))
         whole = span.isin("", "*")
         first = F.when(whole, F.lit(low)).otherwise(F.split_part(span, F.lit("-"), F.lit(1)).try_cast("int"))
         last = F.when(whole, F.lit(high)).when(F.contains(span, F.lit("-")), F.split_part(span, F.lit("-"), F.lit(2)).try_cast("int")).otherwise(first)
-        good = item.rlike(_FIELD) & (item != "") & (every >= 1) & (first >= low) & (first <= last) & (last <= high)
-        return F.when(good, F.sequence(first, last, every))
+        return F.struct((item.rlike(_FIELD) & (item != "")).alias("fits"), every.alias("every"), first.alias("first"), last.alias("last"))
+
+    def good(r: Column) -> Column:
+        return r["fits"] & (r["every"] >= 1) & (r["first"] >= low) & (r["first"] <= r["last"]) & (r["last"] <= high)
 
-    parts = F.transform(F.split(text, ",", -1), values)
-    return F.when(F.forall(parts, lambda p: p.isNotNull()), F.array_sort(F.array_distinct(F.flatten(parts))))
+    # An item that is no valid one is null, and so is a list with such an item.
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(text, ",", -1), values))))
 
 
 def cron_fields(expression: Column) -> Column:
     """parse_cron of a column: struct of the values that each field allows; null
     for what is no valid expression, so every row may have its own."""
-    parts = F.split(F.trim(F.regexp_replace(expression, r"\s+", " ")), " ", -1)
-    fields = [_allowed(F.get(parts, F.lit(i)), low, high).alias(name) for i, (name, low, high) in enumerate(BOUNDS)]
-    made = F.struct(*fields)
-    valid = F.size(parts) == len(BOUNDS)
-    for name, _, _ in BOUNDS:
-        valid = valid & made[name].isNotNull()
-    return F.when(F.coalesce(valid, F.lit(False)), made)
+    def made(parts: Column) -> Column:
+        fields = [_allowed(F.get(parts, F.lit(i)), low, high).alias(name) for i, (name, low, high) in enumerate(BOUNDS)]
+        return F.when(F.size(parts) == len(BOUNDS), bound(F.struct(*fields), valid))
+
+    def valid(fields: Column) -> Column:
+        return F.when(reduce(and_, [fields[name].isNotNull() for name, _, _ in BOUNDS]), fields)
+
+    # Each part is computed once, however often it is compared.
+    return bound(F.split(F.trim(F.regexp_replace(expression, r"\s+", " ")), " ", -1), made)
 
 
 def instants_of(cron: Column, lower: Column, upper: Column, zone_seconds: Column) -> Column:
