@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..functions.schedule import Cron, cron_fields, instants_of
 from ..sources.scans import active_jobs
+from .lineage import cut
 from .mappers import payload_of
 
 #: Sequences that one bucket of the gap scan covers.
@@ -223,8 +224,7 @@ def cron_misses(jobs: DataFrame, fires: DataFrame, cron: Cron, now: float, lookb
 
     jobs: (job_id, created).  fires: (job_id, at).  Expected instants start at
     the first fire (or the creation), at most `lookback` ago.  A hit is a fire
-    within `slack`; the band join goes by buckets of twice the slack, so it is
-    an equi-join.  Instants later than now - slack are no misses and no breaks.
+    within `slack`.  Instants later than now - slack are no misses and no breaks.
     """
     first = fires.groupBy("job_id").agg(F.min("at").alias("first_fire"))
     anchored = jobs.join(first, "job_id", "left").withColumn("lower", F.greatest(F.coalesce("first_fire", "created"), F.lit(now - lookback))).filter("lower is not null")
@@ -233,15 +233,24 @@ def cron_misses(jobs: DataFrame, fires: DataFrame, cron: Cron, now: float, lookb
 
 
 def _runs_of_misses(due: DataFrame, fires: DataFrame, now: float, slack: float) -> DataFrame:
-    """(job_id, first, missed, tail) of expected instants (job_id, instant)."""
-    width = 2 * slack
-    reach = fires.select(F.col("job_id").alias("j"), "at", F.explode(F.array(*[F.floor(F.col("at") / width) + i for i in (-1, 0, 1)])).alias("b"))
-    hit = _near(due, reach, width, slack)
-    w = Window.partitionBy("job_id").orderBy("instant")
-    judged = hit.withColumn("island", F.sum(F.col("hit").cast("int")).over(w)).withColumn("last", F.max("instant").over(Window.partitionBy("job_id")))
-    islands = judged.filter(~F.col("hit") & (F.col("instant") <= now - slack)).groupBy("job_id", "island").agg(F.min("instant").cast("double").alias("first"), F.count(F.lit(1)).alias("missed"), F.max("last").alias("last"))
-    newest = judged.groupBy("job_id").agg(F.max("island").alias("newest"))
-    return islands.join(newest, "job_id").select("job_id", "first", "missed", ((F.col("island") == F.col("newest")) & (F.col("last") >= now - 60)).alias("tail"))
+    """(job_id, first, missed, tail) of expected instants (job_id, instant).
+
+    Instants and fires are sorted together by job, so the nearest fire on either
+    side is known without a join, and the runs follow in the same order: one
+    shuffle.
+    """
+    marks = due.select("job_id", F.col("instant").cast("double").alias("t"), "instant").unionByName(fires.filter("at is not null").select("job_id", F.col("at").cast("double").alias("t"), F.lit(None).cast("bigint").alias("instant"))).filter("job_id is not null")
+    fire = F.when(F.col("instant").isNull(), F.col("t"))
+    # Of one time fires come first, seen from either side.
+    back = Window.partitionBy("job_id").orderBy("t", F.col("instant").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("job_id").orderBy(F.desc("t"), F.col("instant").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = marks.withColumn("before", F.last(fire, ignorenulls=True).over(back)).withColumn("after", F.last(fire, ignorenulls=True).over(ahead)).filter("instant is not null")
+    close = lambda c: F.coalesce(F.abs(F.col(c) - F.col("instant")) <= slack, F.lit(False))
+    hit = near.select("job_id", "instant", (close("before") | close("after")).alias("hit"))
+    w, whole = Window.partitionBy("job_id").orderBy("instant"), Window.partitionBy("job_id")
+    judged = hit.withColumn("island", F.sum(F.col("hit").cast("int")).over(w)).withColumn("last", F.max("instant").over(whole)).withColumn("newest", F.sum(F.col("hit").cast("int")).over(whole))
+    islands = judged.filter(~F.col("hit") & (F.col("instant") <= now - slack)).groupBy("job_id", "island").agg(F.min("instant").cast("double").alias("first"), F.count(F.lit(1)).alias("missed"), F.max("last").alias("last"), F.max("newest").alias("newest"))
+    return islands.select("job_id", "first", "missed", ((F.col("island") == F.col("newest")) & (F.col("last") >= now - 60)).alias("tail"))
 
 
 def cron_job_misses(jobs: DataFrame, fires: DataFrame, now: float, lookback: float, slack: float) -> DataFrame:
@@ -256,23 +265,20 @@ def cron_job_misses(jobs: DataFrame, fires: DataFrame, now: float, lookback: flo
     """
     first = fires.groupBy("job_id").agg(F.min("at").alias("first_fire"))
     offset = lambda c: F.when(F.col(c).rlike(r"(Z|[+-]\d\d:?\d\d)$"), S.zone_seconds(c))
-    known = jobs.withColumn("cron", cron_fields(F.col("expression"))).filter("cron is not null").withColumn("zone", F.coalesce(offset("created_at"), offset("next_run_at"), F.lit(0)))
+    # Without a valid expression there are no instants; a filter would parse it twice.
+    known = jobs.withColumn("cron", cron_fields(F.col("expression"))).withColumn("zone", F.coalesce(offset("created_at"), offset("next_run_at"), F.lit(0)))
     anchored = known.join(first, "job_id", "left").withColumn("lower", F.greatest(F.coalesce("first_fire", S.to_epoch("created_at")), F.lit(now - lookback))).filter("lower is not null")
     due = anchored.select("job_id", F.explode(instants_of(F.col("cron"), F.col("lower"), F.lit(now), F.col("zone"))).alias("instant"))
     return _runs_of_misses(due, fires, now, slack)
 
 
-def _near(due: DataFrame, reach: DataFrame, width: float, slack: float) -> DataFrame:
-    asked = due.withColumn("bucket", F.floor(F.col("instant") / width))
-    close = asked.join(reach.withColumnRenamed("b", "bucket").withColumnRenamed("j", "job_id"), ["job_id", "bucket"]).filter(F.abs(F.col("at") - F.col("instant")) <= slack).select("job_id", "instant").distinct()
-    return due.join(close.withColumn("found", F.lit(True)), ["job_id", "instant"], "left").select("job_id", "instant", F.coalesce("found", F.lit(False)).alias("hit"))
-
-
 def job_misses(jobs: DataFrame, runs: DataFrame, now: float, slack: float, once_slack: float, lookback: float) -> DataFrame:
     """(job_id, kind, first, missed, tail) of all jobs that are active, each by
     its kind of schedule; other kinds, and schedules that say nothing, expect
-    nothing.  jobs: of scans.jobs.  runs: (job_id, claimed_epoch)."""
-    active = active_jobs(jobs).withColumnRenamed("id", "job_id").withColumn("kind", F.col("schedule.kind"))
+    nothing.  jobs: of scans.jobs.  runs: (job_id, claimed_epoch).  Jobs are
+    written once: their document is a text that one task parses, and each kind
+    would parse it anew."""
+    active = cut(active_jobs(jobs).withColumnRenamed("id", "job_id").withColumn("kind", F.col("schedule.kind")))
     fires = runs.filter("claimed_epoch is not null").select("job_id", F.col("claimed_epoch").alias("at"))
     listed = fires.groupBy("job_id").agg(F.array_sort(F.collect_list("at")).alias("fires"))
     none = F.array().cast("array<double>")
