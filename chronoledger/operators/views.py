@@ -55,8 +55,10 @@ def task_attempts(events: DataFrame) -> DataFrame:
     attempt, claims and ends matched by run; `running` without an end."""
     key = ["board", "task_id", "run_id"]
     last = lambda kind: F.max_by(F.struct("holder", "run_outcome", "attempt_disposition"), F.when(F.col("event_type") == kind, F.struct(*stream_order())))
-    runs = events.filter("run_id is not null and board is not null and task_id is not null")
-    both = runs.groupBy(*key).agg(F.min(S.epoch_or_zero("occurred_at")).alias("first_seen"), last("task.claimed").alias("claim"), last("task.attempt_ended").alias("end")).filter("claim is not null or end is not null")
+    # Whether a key is whole is asked of the group: a filter on its fields would reach
+    # the payloads that they come from and parse each once more a field.
+    whole = F.max(F.col("run_id").isNotNull() & F.col("board").isNotNull() & F.col("task_id").isNotNull())
+    both = events.groupBy(*key).agg(F.min(S.epoch_or_zero("occurred_at")).alias("first_seen"), last("task.claimed").alias("claim"), last("task.attempt_ended").alias("end"), whole.alias("whole")).filter("whole and (claim is not null or end is not null)")
     done = F.col("end").isNotNull()
     return both.select(
         *key, "first_seen", F.coalesce(F.when(done, F.col("end.holder")).otherwise(F.col("claim.holder")), F.lit("?")).alias("holder"),
