@@ -88,8 +88,10 @@ def captured_subjects(events: DataFrame, null_part: str | None = None) -> DataFr
     message_row_id covers that message.  Parts of a composite id that are null
     make it null, and null ids cover nothing; only usage is known with null parts
     too, if `null_part` says how they are spelled."""
-    kind, text = F.col("event_type"), F.col("payload")
-    get = lambda name: F.get_json_object(text, f"$.{name}")
+    # A payload is parsed once for all names.
+    names = ("message_row_id", "model", "task", "execution_id", "board", "task_id", "run_id")
+    events = events.select("event_type", "session_id", F.json_tuple("payload", *names).alias(*[f"_{name}" for name in names]))
+    kind, get = F.col("event_type"), lambda name: F.col(f"_{name}")
     pair = lambda a, b: F.concat(a, F.lit(":"), b)
     part = lambda x: x if null_part is None else F.coalesce(x, F.lit(null_part))
     task = kind.startswith("task.")
