@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
 from . import store
+from .lineage import cut
 
 
 def mutations(messages: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -37,11 +38,12 @@ def snapshots(changes: DataFrame, max_count: int, max_file: int, max_total: int)
     artifact without files is a tombstone.  files: (artifact_id, at, path,
     blob_hash, content, skipped), skipped ones with the limit they exceed.
     """
-    known = store.after_states(changes).filter("files is not null").withColumn("held", F.from_json("files", "map<string,string>"))
+    # Written once: states and files would each fold all edits anew.
+    known = cut(store.after_states(changes).filter("files is not null")).withColumn("held", F.from_json("files", "map<string,string>"))
     key = F.struct("artifact_id", "at")
     each = known.select("artifact_id", "at", F.explode("held").alias("path", "content")).withColumn("size", F.octet_length("content"))
     limits = store.limit_files(each.select(key.alias("artifact_id"), "path", "size"), max_count, max_file, max_total).select("artifact_id.*", "path", "skipped")
-    files = each.join(limits, ["artifact_id", "at", "path"]).withColumn("blob_hash", S.content_hash("content"))
+    files = cut(each.join(limits, ["artifact_id", "at", "path"]).withColumn("blob_hash", S.content_hash("content")))
     kept = F.array_sort(F.collect_list(F.when(F.col("skipped").isNull(), F.struct("path", "blob_hash"))))
     lost = F.array_sort(F.collect_list(F.when(F.col("skipped").isNotNull(), F.struct("path", "skipped"))))
     made = files.groupBy("artifact_id", "at").agg(kept.alias("manifest"), lost.alias("skipped"))
@@ -60,6 +62,6 @@ def captured(messages: DataFrame, artifacts: DataFrame, max_count: int = 256, ma
     version, as of store.version_events.
     """
     states, files = snapshots(mutations(messages, artifacts), max_count, max_file, max_total)
-    versions = store.version_chain(states)
+    versions = cut(store.version_chain(states))
     blobs = files.filter("skipped is null").select("blob_hash", "content").dropDuplicates(["blob_hash"])
     return versions, store.version_events(versions, blobs)

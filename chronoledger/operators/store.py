@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -256,20 +257,24 @@ def after_states(mutations: DataFrame) -> DataFrame:
     or a memory's result tells its size.  Arguments and results that are no JSON
     objects are empty ones.
 
-    A fold with free text edits per artifact, so it runs as Python over one
-    artifact's mutations at a time.
+    A fold with free text edits per artifact, so it runs as Python over the
+    mutations of a partition in order; an artifact has all of its own there.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of: object = batches  # no artifact's id
         state: dict[str, str] | None = None
-        rows = []
-        for r in pdf.sort_values("at").itertuples():
-            args = _object(r.arguments)
-            if r.kind == "memory":
-                state = memory_after(state, "USER.md" if r.name == "user" else "MEMORY.md", r.action, args, _object(r.result))
-            else:
-                state = fold_skill(state, r.action, args)
-            rows.append((r.artifact_id, r.at, None if state is None else json.dumps(state, sort_keys=True, ensure_ascii=False)))
-        return pd.DataFrame(rows, columns=["artifact_id", "at", "files"])
+        for pdf in batches:
+            told = []
+            for r in pdf.itertuples():
+                if r.artifact_id != of:
+                    of, state = r.artifact_id, None
+                args = _object(r.arguments)
+                if r.kind == "memory":
+                    state = memory_after(state, "USER.md" if r.name == "user" else "MEMORY.md", r.action, args, _object(r.result))
+                else:
+                    state = fold_skill(state, r.action, args)
+                told.append(None if state is None else json.dumps(state, sort_keys=True, ensure_ascii=False))
+            yield pd.DataFrame({"artifact_id": pdf["artifact_id"], "at": pdf["at"], "files": pd.Series(told, index=pdf.index, dtype=object)})
 
     result = F.col("result") if "result" in mutations.columns else F.lit(None).cast("string").alias("result")
-    return mutations.select("artifact_id", "kind", "name", "at", "action", "arguments", result).groupBy("artifact_id").applyInPandas(run, "artifact_id string, at long, files string")
+    return mutations.select("artifact_id", "kind", "name", "at", "action", "arguments", result).repartition("artifact_id").sortWithinPartitions("artifact_id", F.col("at").asc_nulls_last()).mapInPandas(run, "artifact_id string, at long, files string")
